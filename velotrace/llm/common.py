@@ -52,6 +52,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(df: DataFrame, text_col: str) -> DataFrame:
+    """df with its text as zstd-compressed bytes, for texts that only Python reads after a shuffle: about a third less to move than by the shuffle's own codec."""
+    at, names = df.columns.index(text_col), df.columns
+
+    def work(batches):
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3, write_content_size=True)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                small = pa.array([None if t is None else press.compress(t.encode()) for t in part.column(at).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([small if i == at else part.column(i) for i in range(len(names))], [f"c{i}" for i in range(len(names))])
+
+    kinds = ", ".join(f"c{i} {'binary' if i == at else f.dataType.simpleString()}" for i, f in enumerate(df.schema.fields))
+    return df.mapInArrow(work, kinds).toDF(*names)
+
+
+def unpacked(column: pa.Array) -> pa.Array:
+    """The UTF-8 bytes of packed texts."""
+    import zstandard
+
+    press = zstandard.ZstdDecompressor()
+    return pa.array([None if t is None else press.decompress(t) for t in column.to_pylist()], pa.binary())
+
+
+def parts(batches, size: int, columns: int):
+    """Batches in slices of so many rows at most, where their texts are unpacked from column `columns`."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, size):
+            part = batch.slice(lo, size)
+            yield part, unpacked(part.column(columns))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser that spreads every input bit."""
     x = x.astype(U, copy=True)
@@ -88,7 +122,7 @@ def chunks(column: pa.Array, size: int = CHUNK):
     else:
         kind = np.int32
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
     n = len(column)
     if not n:
         return

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import U, chunks, constants, gram_hashes, joined, keep_columns, mix, spans, starts_of, table, word_hashes
+from .common import U, chunks, constants, gram_hashes, joined, keep_columns, mix, packed, parts, spans, starts_of, table, unpacked, word_hashes
 
 WINDOW, REACH = 20, 4
 TOP = U(0xFFFFFFFFFFFFFFFF)
@@ -124,7 +124,7 @@ def _windows(batches):
         with np.errstate(over="ignore"):
             wanted = np.unique(mix(flat + mix(np.repeat(np.arange(len(counts)), counts).astype(U))))
         out = []
-        for row, data, offs in chunks(batch.column(1)):
+        for row, data, offs in chunks(unpacked(batch.column(1))):
             starts, ends, wfirst = spans(data, offs)
             h = word_hashes(data, starts, ends)
             doc, at, key, _ = places(h, wfirst)
@@ -171,7 +171,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     seen = text.mapInArrow(_names, "part long, doc long, own long")
     seen = seen.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("part")))
     hits = seen.filter("doc IS NOT NULL AND (own IS NOT NULL OR times > 1)").groupBy("doc").agg(F.collect_set(F.coalesce("own", "part")).alias("keys"))
-    found = text.join(hits, "doc").select("doc", "text", "keys").mapInArrow(_windows, "name long, place int, doc long, start int, n int")
+    found = packed(text, "text").join(hits, "doc").select("doc", "text", "keys").mapInArrow(_windows, "name long, place int, doc long, start int, n int")
     found = found.withColumn("turn", F.rank().over(Window.partitionBy("name", "place").orderBy("doc", "start")))
     found = found.filter("n > 0 OR turn > 1").select("doc", F.struct("start", F.greatest("n", F.lit(1)).alias("n")).alias("cut"))
     return found.groupBy("doc").agg(F.collect_list("cut").alias("cut"))
@@ -183,13 +183,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     digests = outputs == "digests"
     base = keep_columns(docs, id_col, text_col) if digests else docs
     names = base.columns
+    base = packed(base, text_col)
     rows = base.join(cut, F.col(id_col).cast("long") == F.col("__doc"), "left").select(*[base[f"`{n}`"] for n in names], "__cut")
     ti, ii = names.index(text_col), names.index(id_col)
 
     def work(batches):
-        for batch in batches:
+        for batch, texts in parts(batches, 2048, ti):
             cuts = batch.column(len(names))
-            for row, data, offs in chunks(batch.column(ti)):
+            for row, data, offs in chunks(texts):
                 n = len(offs) - 1
                 starts, ends, wfirst = spans(data, offs)
                 own = cuts.slice(row, n)
@@ -211,16 +212,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     )
                 else:
                     part = batch.slice(row, n)
-                    old = part.column(ti).to_pylist()
-                    texts = pa.array([k.decode() if r else o for k, r, o in zip(kept, removed.tolist(), old)], part.column(ti).type)
-                    yield pa.RecordBatch.from_arrays([texts if i == ti else part.column(i) for i in range(len(names))], [f"c{i}" for i in range(len(names))])
+                    old = texts.slice(row, n).to_pylist()
+                    new = pa.array([k.decode() if r else o if o is None else o.decode() for k, r, o in zip(kept, removed.tolist(), old)], pa.string())
+                    yield pa.RecordBatch.from_arrays([new if i == ti else part.column(i) for i in range(len(names))], [f"c{i}" for i in range(len(names))])
 
     # arrow lists of nulls have no length; null cuts are empty
     rows = rows.withColumn("__cut", F.coalesce("__cut", F.expr("cast(array() AS array<struct<start:int,n:int>>)")))
     if digests:
         kind = dict(base.dtypes)[id_col]
         return rows.mapInArrow(work, f"id {kind}, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("id", id_col)
-    kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(base.schema.fields))
+    kinds = ", ".join(f"c{i} {'string' if i == ti else f.dataType.simpleString()}" for i, f in enumerate(base.schema.fields))
     return rows.mapInArrow(work, kinds).toDF(*names)
 
 
