@@ -92,13 +92,13 @@ class SmallWorld:
         found = keys < none
         return np.where(found, keys >> 1 & 0xFFFFFFFF, -1), np.where(found, keys >> 34, FAR)
 
-    def within(self, queries: np.ndarray, radius: int, beam: int = 16):
-        """(query, point, distance) of all points found within the radius; a beam that is full of them is doubled."""
+    def within(self, queries: np.ndarray, radius: int, beam: int = 16, widest: int = 64):
+        """(query, point, distance) of points found within the radius; a beam that is full of them is doubled, up to the widest."""
         out, todo, n = [], np.arange(len(queries)), len(self.points)
         while len(todo):
             beam = min(beam, n)
             ids, dist = self.search(queries[todo], beam)
-            full = (dist <= radius).all(1) & (beam < n)
+            full = (dist <= radius).all(1) & (beam < min(n, widest))
             qi, k = np.nonzero((dist <= radius) & ~full[:, None])
             out.append((todo[qi], ids[qi, k], dist[qi, k]))
             todo, beam = todo[full], beam * 2
@@ -109,7 +109,8 @@ def exact_within(points: np.ndarray, queries: np.ndarray, radius: int, block: in
     """The same by comparing a block of queries with all points."""
     out = []
     for lo in range(0, len(queries), block):
-        d = hamming(queries[lo : lo + block][:, None], points[None])
+        part = queries[lo : lo + block]
+        d = sum(np.bitwise_count(part[:, None, w] ^ points[None, :, w]).astype(np.int16) for w in range(points.shape[1]))
         q, p = np.nonzero(d <= radius)
         out.append((q + lo, p, d[q, p]))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int),) * 3

@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, chunks, constants, gram_hashes, keep_columns, mix, spans, starts_of, table, word_hashes, work_table
+from .common import U, chunks, constants, gram_hashes, keep_columns, mix, packed, spans, starts_of, table, unpacked, word_hashes, work_table
 from .graphs import SmallWorld, components, exact_within
 
 SHINGLE, SIMILAR, TABLES, RADIUS = 5, 0.8, 6, 40
-CAP, NEAREST, GROUP = 4096, 32, 400
+CAP, NEAREST, GROUP = 1024, 32, 400
 SALTS = 8
 _MIN, _BITS = constants(21, 8), constants(22, 4)
 
@@ -94,7 +94,7 @@ def _search(limit: int | None):
         get = lambda c: t.column(c).to_numpy()
         ids, n, low, cls, role = get("id"), get("n"), get("low"), get("cls"), get("role")
         sim = np.stack([get("sim_a").view(U), get("sim_b").view(U)], 1)
-        graph, query = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
+        graph, query = np.flatnonzero(role != 1), np.flatnonzero((role != 0) & get("ask"))
         order = np.argsort(ids[graph], kind="stable")
         graph = graph[order]
         world = SmallWorld(sim[graph])
@@ -125,13 +125,17 @@ def _search(limit: int | None):
     return work
 
 
-def candidates(nodes: DataFrame, classes: DataFrame | None, limit: int | None) -> DataFrame:
-    """a, b, more, and in rows with a = b = 0 the audit of a shard: pairs within the radius, and how many the graph found."""
+def candidates(nodes: DataFrame, classes: DataFrame | None, limit: int | None, ask: DataFrame | None = None) -> DataFrame:
+    """Only nodes in ask query, all where it is None. Rows a, b, more, and in rows with a = b = 0 the audit of a shard: pairs within the radius, and how many the graph found."""
     rows = nodes.select("id", "n", "sim_a", "sim_b", F.posexplode("low").alias("t", "low"))
     if classes is None:
         rows = rows.withColumn("cls", F.col("id"))
     else:
         rows = rows.join(classes, "id", "left").withColumn("cls", F.coalesce("component", "id")).drop("component")
+    if ask is None:
+        rows = rows.withColumn("ask", F.lit(True))
+    else:
+        rows = rows.join(ask.select("id", F.lit(True).alias("ask")), "id", "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
     shared = rows.groupBy("t", "low").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
     total = shared.agg(F.sum("times")).first()[0] or 0
     shards = max(1, -(-total // (TABLES * CAP)))
@@ -141,8 +145,10 @@ def candidates(nodes: DataFrame, classes: DataFrame | None, limit: int | None) -
     rows = rows.join(shared, ["t", "low"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     graph = rows.select("*", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("i")).select("*", F.col("block").alias("j"), F.when(F.col("i") == F.col("block"), 2).otherwise(0).alias("role"))
     query = rows.filter("block > 0").select("*", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("j")).withColumn("role", F.lit(1))
-    cols = ["t", "shard", "i", "j", "id", "n", "sim_a", "sim_b", "low", "cls", "role"]
+    cols = ["t", "shard", "i", "j", "id", "n", "sim_a", "sim_b", "low", "cls", "role", "ask"]
     every = graph.select(*cols).unionByName(query.select(*cols))
+    # a number of its own: small in bytes, long in work, so not to be coalesced
+    every = every.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "t", "shard", "i", "j")
     return every.groupBy("t", "shard", "i", "j").applyInArrow(_search(limit), "a long, b long, more boolean, truth long, found long")
 
 
@@ -152,7 +158,7 @@ def _verify(texts: pa.Table, edges: pa.Table) -> pa.Table:
         texts = texts.combine_chunks()
         ids = texts.column("id").to_numpy().tolist()
         for part in texts.column("text").chunks:
-            for row, data, offs in chunks(part):
+            for row, data, offs in chunks(unpacked(part)):
                 doc, g = shingles(data, offs)
                 cut = np.searchsorted(doc, np.arange(len(offs)))
                 for k in range(len(offs) - 1):
@@ -182,7 +188,8 @@ def verified(text: DataFrame, pairs: DataFrame) -> DataFrame:
     e = e.select("bucket", F.when(F.col("parts") > 1, F.col("component")).otherwise(F.lit(-1)).alias("c"), F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "a", "b")
     need = comp.withColumn("x", part("id")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     need = need.select("id", "bucket", F.when(F.col("parts") > 1, F.col("component")).otherwise(F.lit(-1)).alias("c"), F.least("x", "o").alias("i"), F.greatest("x", "o").alias("j"))
-    t = text.join(need, "id").select("bucket", "c", "i", "j", "id", "text")
+    # never broadcast: with more documents it would be the other join
+    t = packed(text, "text").join(need.hint("merge"), "id").select("bucket", "c", "i", "j", "id", "text")
     key = ["bucket", "c", "i", "j"]
     e = e.select(*[F.col(k).alias(f"e_{k}") for k in key], "a", "b")  # other names: both sides come from one table
     return t.groupBy(*key).cogroup(e.groupBy(*[f"e_{k}" for k in key])).applyInArrow(_verify, "a long, b long")
@@ -204,9 +211,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     audit = first.filter("a = 0 AND b = 0").agg(F.coalesce(F.sum("truth"), F.lit(0)).alias("truth"), F.coalesce(F.sum("found"), F.lit(0)).alias("found"))
     pairs = work_table(first.filter("a != b").select("a", "b").distinct(), "pairs")
     links = work_table(verified(text, pairs), "links")
-    if first.filter("more").limit(1).count():
+    ask = first.filter("more").select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    if ask.limit(1).count():
         classes = work_table(components(links), "first-classes")
-        rest = candidates(nodes, classes, None).filter("a != b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+        rest = candidates(nodes, classes, None, ask).filter("a != b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
         links = links.unionByName(work_table(verified(text, work_table(rest, "more-pairs")), "more-links"))
     classes = components(links.unionByName(equal)).groupBy("id").agg(F.min("component").alias("component"))
     rows = kept.select(F.col(id_col))
