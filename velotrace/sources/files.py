@@ -12,7 +12,7 @@ FORMATS = (".fit", ".gpx", ".tcx")
 
 
 def scan(spark: SparkSession, *paths: str) -> DataFrame:
-    """path, length, content of regular files."""
+    """path, length, content of regular files. Spark's file scan leaves out files of zero bytes, so these have no row at all."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)).select("path", "length", "content")
 
 
