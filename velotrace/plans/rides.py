@@ -136,10 +136,10 @@ def semicircle_roundtrip(spark, d):
 
 
 def _messages(spark, d):
-    """Session-like messages, several per activity, with gaps."""
+    """Session-like messages, one for each point of the activity, whose fields have gaps."""
     p = pseudo(spark, d)
     some = lambda n, c: F.when(F.pmod(F.col("cadence") + F.col("seq"), F.lit(n)) != 0, c)
-    return p.filter("seq < 9").select("activity_id", "seq", some(2, F.col("cadence") * 100.0).alias("total_distance_m"), some(3, F.col("cadence") / 4.0).alias("max_speed_ms"), some(4, F.pmod(F.col("cadence").cast("int"), F.lit(70))).alias("sub_sport"), some(2, F.pmod(F.col("cadence").cast("int") * 7, F.lit(400))).alias("manufacturer"))
+    return p.select("activity_id", "seq", some(2, F.col("cadence") * 100.0).alias("total_distance_m"), some(3, F.col("cadence") / 4.0).alias("max_speed_ms"), some(4, F.pmod(F.col("cadence").cast("int"), F.lit(70))).alias("sub_sport"), some(2, F.pmod(F.col("cadence").cast("int") * 7, F.lit(400))).alias("manufacturer"))
 
 
 def session_last_valid(spark, d):
