@@ -59,8 +59,17 @@ def symbols(h: np.ndarray, wfirst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, name
 
 
+def _least(rank: np.ndarray) -> np.ndarray:
+    """The least rank of the places of each window, by its first word."""
+    low, width, need = rank[REACH:], 1, WINDOW - 2 * REACH + 1
+    while 2 * width <= need:
+        low = np.minimum(low[:-width], low[width:])
+        width *= 2
+    return np.minimum(low[: len(low) - (need - width)], low[need - width :])
+
+
 def places(h: np.ndarray, wfirst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first word, name of the place that stands for it, whether the window before has another place) of each window."""
+    """(document, first word, name of the place that stands for it, whether to count the place anew: the window before has another, or the window holds the name twice) of each window."""
     doc, at = starts_of(wfirst, WINDOW)
     if not len(at):
         return doc, at, np.zeros(0, U), np.zeros(0, bool)
@@ -68,18 +77,17 @@ def places(h: np.ndarray, wfirst: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     rank = np.full(len(h), TOP)
     begin = begin[(begin >= REACH) & (begin + REACH <= len(h))]
     # the last four bits tell places of one name apart: a window has 13
-    rank[begin] = gram_hashes(h, 2 * REACH)[begin - REACH] & ~U(15) | (begin & 15).astype(U)
-    low, width, need = rank[REACH:], 1, WINDOW - 2 * REACH + 1
-    while 2 * width <= need:
-        low = np.minimum(low[:-width], low[width:])
-        width *= 2
-    low = np.minimum(low[: len(low) - (need - width)], low[need - width :])
-    key = low[at]
+    name = gram_hashes(h, 2 * REACH)[begin - REACH] & ~U(15)
+    rank[begin] = name | (begin & 15).astype(U)
+    key = _least(rank)[at]
     none = key == TOP
+    # of places of one name, the ranks in reverse order choose another: such windows may equal others that share their place
+    rank[begin] = name | (15 - (begin & 15)).astype(U)
+    many = ((key ^ _least(rank)[at]) != U(15)) & ~none
     if none.any():
         key[none] = gram_hashes(h, WINDOW, 20)[at[none]] & ~U(15) | (at[none] & 15).astype(U)
     new = np.ones(len(at), bool)
-    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | many[1:]
     return doc, at, key | U(15), new
 
 
@@ -102,6 +110,7 @@ def _names(batches):
         first[1:] = key[1:] != key[:-1]
         alone = first & np.append(first[1:], True)
         own = ~alone  # known to repeat
+        own[1:] &= first[1:] | (doc[1:] != doc[:-1])
         part = np.concatenate([key[first], mix(key[own] ^ mix(doc[own].view(U)))])
         yield pa.RecordBatch.from_arrays(
             [
