@@ -4,8 +4,9 @@ Each language has a codeword; one binary n-gram classifier per bit predicts its
 the language whose codeword has the least loss, the bits being weighted by how well their classifiers do in training; where the runner-up is close,
 the row is flagged as ambiguous.
 
-Training: the first `per_lang` labelled rows of each language in the order of a hash of doc_id (at most `max_langs` languages, by size), whose n-gram
-counts, not texts, come to the driver: a bound of per_lang x max_langs x DIM counts. Prediction reads every whole text.
+Training: every language that has a labelled row is learned, from its first `per_lang` such rows in the order of a hash of doc_id. Their n-gram counts,
+not texts, come to the driver. Where languages are many, each has fewer rows, so that about `rows_most` rows in all are learned from, but at least one a
+language. Prediction reads every whole text.
 
 Defined results: null text and text without a letter are `und` with score 0; ties fall to the smaller language; without training rows all is
 `und`; repeated rows give equal rows; an empty table gives none; extra columns are ignored.
@@ -23,7 +24,7 @@ from pyspark.sql.window import Window
 
 from .common import chunks, keep_columns, table
 
-DIM, PER_LANG, MAX_LANGS = 4096, 300, 64
+DIM, PER_LANG, ROWS_MOST = 4096, 300, 300 * 64
 AMBIGUOUS = 0.6
 LETTER = np.full(256, 32, np.uint8)
 for _b in range(256):
@@ -62,15 +63,21 @@ def codewords(n: int) -> np.ndarray:
     if n <= 5:
         cols = [c for c in itertools.product((1, -1), repeat=n) if c[0] == 1 and -1 in c]
         return np.array(cols).T.astype(float)
-    bits, best, far = int(np.ceil(10 * np.log2(n))), None, -1
-    for seed in range(200):
+    bits, best, far = int(np.ceil(10 * np.log2(n))), None, 0
+    tries = max(1, 200 * 64**2 // max(n, 64) ** 2)  # comparing all pairs grows with the square
+    for seed in itertools.count():
+        if seed >= tries and best is not None:
+            return best
         code = np.random.default_rng(seed).choice([-1.0, 1.0], (n, bits))
         if (np.abs(code.sum(0)) == n).any():
             continue
-        near = min((code[i] != code[j]).sum() for i in range(n) for j in range(i))
+        near = bits
+        for lo in range(0, n, 512):
+            part = code[lo : lo + 512]
+            alike = (part @ code[: lo + len(part)].T)[np.tri(len(part), lo + len(part), lo - 1, dtype=bool)]  # of pairs, each once
+            near = min(near, int(bits - alike.max(initial=-bits)) // 2)
         if near > far:
             best, far = code, near
-    return best
 
 
 def fit(x: np.ndarray, y: np.ndarray, langs: list[str], rounds: int = 150, rate: float = 20.0, decay: float = 1e-5) -> dict:
@@ -93,7 +100,8 @@ def fit(x: np.ndarray, y: np.ndarray, langs: list[str], rounds: int = 150, rate:
 
 def decode(margins: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(language number, score, ambiguous) of each row: least weighted logistic loss over the codewords."""
-    loss = np.logaddexp(0, -margins[:, None, :] * model["code"][None]) @ model["bit"]
+    up, down = (np.logaddexp(0, z) * model["bit"] for z in (-margins, margins))
+    loss = up @ (model["code"] > 0).T + down @ (model["code"] < 0).T
     e = np.exp(-(loss - loss.min(1, keepdims=True)) * 4)
     p = e / e.sum(1, keepdims=True)
     best = loss.argmin(1)
@@ -101,15 +109,15 @@ def decode(margins: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np
     return best, score, score < AMBIGUOUS
 
 
-def train(docs: DataFrame, rows, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict | None:
+def train(docs: DataFrame, rows, per_lang: int = PER_LANG, rows_most: int = ROWS_MOST, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict | None:
     """docs has id, text, lang; rows is the condition for rows that may be learned from."""
     d = docs.filter(rows & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    langs = [r[0] for r in d.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_langs).collect()]
+    langs = sorted(r[0] for r in d.select(lang_col).distinct().collect())
     if not langs:
         return None
-    ranked = d.select(id_col, lang_col).filter(F.col(lang_col).isin(langs)).withColumn("_rank", F.row_number().over(Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)))
+    per_lang = max(1, min(per_lang, rows_most // len(langs)))
+    ranked = d.select(id_col, lang_col).withColumn("_rank", F.row_number().over(Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)))
     ids = ranked.filter(F.col("_rank") <= per_lang).select(id_col).distinct()
-    langs.sort()
 
     def count(batches):
         for batch in batches:
