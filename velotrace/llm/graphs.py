@@ -92,13 +92,13 @@ class SmallWorld:
         found = keys < none
         return np.where(found, keys >> 1 & 0xFFFFFFFF, -1), np.where(found, keys >> 34, FAR)
 
-    def within(self, queries: np.ndarray, radius: int, beam: int = 16, widest: int = 64):
-        """(query, point, distance) of points found within the radius; a beam that is full of them is doubled, up to the widest."""
+    def within(self, queries: np.ndarray, radius: int, beam: int = 16):
+        """(query, point, distance) of points found within the radius; a beam that is full of them is doubled, up to all points."""
         out, todo, n = [], np.arange(len(queries)), len(self.points)
         while len(todo):
             beam = min(beam, n)
             ids, dist = self.search(queries[todo], beam)
-            full = (dist <= radius).all(1) & (beam < min(n, widest))
+            full = (dist <= radius).all(1) & (beam < n)
             qi, k = np.nonzero((dist <= radius) & ~full[:, None])
             out.append((todo[qi], ids[qi, k], dist[qi, k]))
             todo, beam = todo[full], beam * 2

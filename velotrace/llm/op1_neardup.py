@@ -18,6 +18,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import U, chunks, constants, gram_hashes, keep_columns, mix, packed, spans, starts_of, table, unpacked, word_hashes, work_table
 from .graphs import SmallWorld, components, exact_within
 
+log = logging.getLogger(__name__)
 SHINGLE, SIMILAR, TABLES, RADIUS = 5, 0.8, 6, 40
 CAP, NEAREST, GROUP = 1024, 32, 400
 SALTS = 8
@@ -100,9 +103,10 @@ def _search(limit: int | None):
         world = SmallWorld(sim[graph])
         qi, pi, d = world.within(sim[query], RADIUS)
         eq, ep, ed = exact_within(sim[graph], sim[query], RADIUS)
-        found = len(np.unique(qi * len(graph) + pi))
-        audit = (len(eq), found)
-        a, b, dist = query[eq], graph[ep], ed  # the audit's links hold the graph's
+        hit, at = np.unique(qi * len(graph) + pi, return_index=True)
+        missed = ~np.isin(eq * len(graph) + ep, hit)
+        audit = (len(hit) + int(missed.sum()), len(hit))
+        a, b, dist = np.append(query[qi[at]], query[eq[missed]]), np.append(graph[pi[at]], graph[ep[missed]]), np.append(d[at], ed[missed])
         fit = (low[a] == low[b]) & (ids[a] != ids[b]) & (cls[a] != cls[b]) & (np.minimum(n[a], n[b]) >= SIMILAR * np.maximum(n[a], n[b]) - 1e-9)
         both = role[a] == 2
         fit &= ~both | (ids[b] < ids[a])
@@ -209,6 +213,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     equal = prints.select("id", *key, F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")).join(many, [*key, "salt"]).filter("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     first = work_table(candidates(nodes, None, NEAREST), "candidates")
     audit = first.filter("a = 0 AND b = 0").agg(F.coalesce(F.sum("truth"), F.lit(0)).alias("truth"), F.coalesce(F.sum("found"), F.lit(0)).alias("found"))
+    seen = audit.first()
+    log.warning("graph recall: %d of %d pairs within the radius, the others added by comparison", seen.found, seen.truth)
     pairs = work_table(first.filter("a != b").select("a", "b").distinct(), "pairs")
     links = work_table(verified(text, pairs), "links")
     ask = first.filter("more").select(F.explode(F.array("a", "b")).alias("id")).distinct()
