@@ -27,7 +27,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op4_pieces.encode_decode(docs, op4_pieces.model_path())
+    return op4_pieces.encode_decode(docs, op4_pieces.model_path(), outputs="ids")
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("mixing", mixing), ("encoding", encoding)]

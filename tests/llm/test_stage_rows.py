@@ -1,10 +1,12 @@
-"""Whole rows of the pipeline's stages against plain Python: near-dedup and substring dedup."""
+"""Whole rows of the pipeline's stages against plain Python: near-dedup, substring dedup and encoding."""
 
 import random
 
 import pytest
+import sentencepiece
 
 import corpus_pipeline as cp
+from velotrace.llm import op4_pieces
 
 COLS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -54,3 +56,11 @@ def test_substring_dedup_rows(spark, rows):
         want.append((i, text, lang, source, len(text)))
     assert sum(a != b for a, b in zip(rows, want)) == 5
     assert plain(cp.substring_dedup(spark, frame(spark, rows), "")) == want
+
+
+def test_encoding_rows(spark, rows):
+    lib = sentencepiece.SentencePieceProcessor(model_file=op4_pieces.model_path())
+    got = cp.encoding(spark, frame(spark, rows), "")
+    assert got.columns == ["doc_id", "ids", "decoded"]
+    want = [(r[0], lib.encode(r[1], add_eos=True)) for r in rows]
+    assert sorted((r.doc_id, r.ids, r.decoded) for r in got.collect()) == [(i, ids, lib.decode(ids)) for i, ids in want]
