@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U = np.uint64
 #: Separators of words: space and the ASCII controls 9 to 13. Every other code point belongs to a word.
@@ -17,12 +18,20 @@ SEP[[9, 10, 11, 12, 13, 32]] = True
 CHUNK = 1 << 20
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none."""
+    """The folder all executors share, as the session names it. Only a session in one local process may go without; it gets a temporary folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="velotrace-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="velotrace-")
+        folder = _LOCAL[app]
     return folder.rstrip("/")
 
 
@@ -31,7 +40,31 @@ def work_table(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/velotrace/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.work_path = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Deletes work tables that no plan reads any more."""
+    for t in tables:
+        path = getattr(t, "work_path", None)
+        if path:
+            jvm = t.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def split_join(rows: DataFrame, groups: DataFrame, key: list[str], times: str, spread: str, total: int, each: int = 100_000) -> DataFrame:
+    """rows joined with groups, which has one row a key and counts the key's rows in `times`; the rows of a hot key are spread over several tasks.
+
+    Hot are keys of over `each` rows and over a thousandth of all, so at most a thousand: that bounds what is broadcast."""
+    most = max(each, total // 1000)
+    parts = F.when(F.col(times) > most, F.ceil(F.col(times) / most)).otherwise(1).cast("int")
+    hot = groups.filter(F.col(times) > most).select(*key, parts.alias("_parts"))
+    rows = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    groups = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return rows.join(groups, [*key, "_salt"]).drop("_salt")
 
 
 def keep_columns(df: DataFrame, *names: str) -> DataFrame:

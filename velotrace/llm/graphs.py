@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, work_table
+from .common import U, release, work_table
 
 FAR = 1 << 12
 
@@ -116,8 +116,8 @@ def exact_within(points: np.ndarray, queries: np.ndarray, radius: int, block: in
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int),) * 3
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """id, component (its least id) of each end of the edges (a, b): large and small stars in turn until nothing changes."""
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """id, component (its least id) of each end of the edges (a, b): large and small stars in turn until nothing changes. Raises where they haven't settled after so many rounds."""
     e = work_table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
     state = None
     for _ in range(rounds):
@@ -126,10 +126,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = work_table(small.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        old, e = e, work_table(small.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        release(old)
         new = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == state:
             break
         state = new
+    else:
+        raise RuntimeError(f"components not settled after {rounds} rounds")
     ids = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return ids.unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    out = ids.unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    out.work_path = e.work_path
+    return out

@@ -1,19 +1,20 @@
 """SimHash near-dedup over navigable small-world graphs.
 
-1. Each text becomes a 128-bit SimHash, eight minimum hashes and a digest of its set of five-word shingles. Equal sets are one node.
+1. Each text becomes a 128-bit SimHash, minimum hashes and a digest of its set of five-word shingles. Equal sets are one node.
 2. Nodes are sharded by their minimum hashes, in TABLES tables: texts of similarity 0.8 share a shard in each with a probability of 0.8, so all but
    1 in 15,000 pairs share one. Nodes that share no minimum hash with any other need no search. Large shards are split into blocks; the queries of each
    block are sent to all blocks of the shard.
-3. In a shard, every node queries the graph with a beam that doubles while all it holds is within the radius. The same search by comparison audits the
-   recall and adds what the graph missed.
+3. In a shard, every node queries the graph with a beam that doubles while all it holds is within the radius. What the graph returns are the candidates,
+   there is no other way to become one. Pairs that meet in several tables are searched as often, in other graphs. The nodes whose id is divisible by AUDIT
+   are also compared with all points of their shard: that audits the recall. Where it is below RECALL, the search starts anew with a wider beam.
 4. Candidates that share the minimum hash, and whose sizes allow it, are verified on whole shingle sets; texts travel once per group of candidates,
    not per pair. A node with over NEAREST candidates sends its nearest first; once the classes of the first pass are known, the rest between
    different classes follow, all of them.
-5. Verified links and equal sets are joined to classes.
+5. Verified links are joined to classes of nodes, and rows find their node's class.
 
 Defined results: the class id is the least doc_id of the class; null texts and texts without words are alone; texts of one to four words have their
-whole word sequence as the one shingle; rows of one doc_id are one document; rows with null doc_id have a null class; an empty table gives none; extra
-columns are ignored.
+whole word sequence as the one shingle; rows of one doc_id are one document, linked by what any of its texts is linked by; rows with null doc_id have a
+null class; an empty table gives none; extra columns are ignored. graph_recall is the audited recall of one search (1 where no pair was audited).
 """
 
 from __future__ import annotations
@@ -25,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, chunks, constants, gram_hashes, keep_columns, mix, packed, spans, starts_of, table, unpacked, word_hashes, work_table
+from .common import U, chunks, constants, gram_hashes, keep_columns, mix, packed, release, spans, split_join, starts_of, table, unpacked, word_hashes, work_table
 from .graphs import SmallWorld, components, exact_within
 
 log = logging.getLogger(__name__)
 SHINGLE, SIMILAR, TABLES, RADIUS = 5, 0.8, 6, 40
 CAP, NEAREST, GROUP = 1024, 32, 400
-SALTS = 8
+BEAM, AUDIT, RECALL = 16, 100, 0.9
 _MIN, _BITS = constants(21, 8), constants(22, 4)
 
 
@@ -92,7 +93,7 @@ def _slices(begin: np.ndarray, total: int, rows: int = 1 << 15):
         i = j
 
 
-def _search(limit: int | None):
+def _search(limit: int | None, beam: int = BEAM):
     def work(t: pa.Table) -> pa.Table:
         get = lambda c: t.column(c).to_numpy()
         ids, n, low, cls, role = get("id"), get("n"), get("low"), get("cls"), get("role")
@@ -100,20 +101,19 @@ def _search(limit: int | None):
         graph, query = np.flatnonzero(role != 1), np.flatnonzero((role != 0) & get("ask"))
         order = np.argsort(ids[graph], kind="stable")
         graph = graph[order]
-        world = SmallWorld(sim[graph])
-        qi, pi, d = world.within(sim[query], RADIUS)
-        eq, ep, ed = exact_within(sim[graph], sim[query], RADIUS)
-        hit, at = np.unique(qi * len(graph) + pi, return_index=True)
-        missed = ~np.isin(eq * len(graph) + ep, hit)
-        audit = (len(hit) + int(missed.sum()), len(hit))
-        a, b, dist = np.append(query[qi[at]], query[eq[missed]]), np.append(graph[pi[at]], graph[ep[missed]]), np.append(d[at], ed[missed])
+        qi, pi, dist = SmallWorld(sim[graph]).within(sim[query], RADIUS, beam)
+        # the audit: queries of ids divisible by AUDIT against all points
+        asked = np.flatnonzero(ids[query] % AUDIT == 0)
+        eq, ep, _ = exact_within(sim[graph], sim[query[asked]], RADIUS)
+        real = ids[query[asked[eq]]] != ids[graph[ep]]
+        truth = (asked[eq] * len(graph) + ep)[real]
+        audit = (len(truth), int(np.isin(truth, qi * len(graph) + pi).sum()))
+        a, b = query[qi], graph[pi]
         fit = (low[a] == low[b]) & (ids[a] != ids[b]) & (cls[a] != cls[b]) & (np.minimum(n[a], n[b]) >= SIMILAR * np.maximum(n[a], n[b]) - 1e-9)
-        both = role[a] == 2
-        fit &= ~both | (ids[b] < ids[a])
         a, b, dist = a[fit], b[fit], dist[fit]
         more = np.zeros(len(a), bool)
         if limit is not None and len(a):
-            order = np.lexsort((dist, a))
+            order = np.lexsort((ids[b], dist, a))
             a, b = a[order], b[order]
             first = np.searchsorted(a, a)
             keep = np.arange(len(a)) - first < limit
@@ -129,8 +129,8 @@ def _search(limit: int | None):
     return work
 
 
-def candidates(nodes: DataFrame, classes: DataFrame | None, limit: int | None, ask: DataFrame | None = None) -> DataFrame:
-    """Only nodes in ask query, all where it is None. Rows a, b, more, and in rows with a = b = 0 the audit of a shard: pairs within the radius, and how many the graph found."""
+def candidates(nodes: DataFrame, classes: DataFrame | None, limit: int | None, ask: DataFrame | None = None, beam: int = BEAM) -> DataFrame:
+    """Only nodes in ask query, all where it is None. Rows a, b, more, and in rows with a = b = 0 the audit of a shard: audited pairs within the radius, and how many of them the graph found."""
     rows = nodes.select("id", "n", "sim_a", "sim_b", F.posexplode("low").alias("t", "low"))
     if classes is None:
         rows = rows.withColumn("cls", F.col("id"))
@@ -145,19 +145,27 @@ def candidates(nodes: DataFrame, classes: DataFrame | None, limit: int | None, a
     shards = max(1, -(-total // (TABLES * CAP)))
     shared = shared.withColumn("shard", F.pmod(F.xxhash64("low"), F.lit(shards)).cast("int"))
     sizes = shared.groupBy("t", "shard").agg((F.floor((F.sum("times") - 1) / F.lit(2 * CAP)) + 1).cast("int").alias("blocks"))
-    shared = shared.join(sizes, ["t", "shard"]).select("t", "low", "shard", "blocks")
-    rows = rows.join(shared, ["t", "low"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    shared = shared.join(sizes, ["t", "shard"]).select("t", "low", "times", "shard", "blocks")
+    rows = split_join(rows, shared, ["t", "low"], "times", "id", total).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     graph = rows.select("*", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("i")).select("*", F.col("block").alias("j"), F.when(F.col("i") == F.col("block"), 2).otherwise(0).alias("role"))
     query = rows.filter("block > 0").select("*", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("j")).withColumn("role", F.lit(1))
     cols = ["t", "shard", "i", "j", "id", "n", "sim_a", "sim_b", "low", "cls", "role", "ask"]
     every = graph.select(*cols).unionByName(query.select(*cols))
     # a number of its own: small in bytes, long in work, so not to be coalesced
     every = every.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "t", "shard", "i", "j")
-    return every.groupBy("t", "shard", "i", "j").applyInArrow(_search(limit), "a long, b long, more boolean, truth long, found long")
+    return every.groupBy("t", "shard", "i", "j").applyInArrow(_search(limit, beam), "a long, b long, more boolean, truth long, found long")
+
+
+def _similar(u: np.ndarray, v: np.ndarray) -> bool:
+    if len(u) > len(v):
+        u, v = v, u
+    at = np.minimum(np.searchsorted(v, u), len(v) - 1)
+    same = int((v[at] == u).sum())
+    return same >= SIMILAR * (len(u) + len(v) - same) - 1e-9
 
 
 def _verify(texts: pa.Table, edges: pa.Table) -> pa.Table:
-    sets: dict[int, np.ndarray] = {}
+    sets: dict[int, list[np.ndarray]] = {}  # rows of one id are one document: any of its texts may make the link
     if texts.num_rows:
         texts = texts.combine_chunks()
         ids = texts.column("id").to_numpy().tolist()
@@ -166,73 +174,89 @@ def _verify(texts: pa.Table, edges: pa.Table) -> pa.Table:
                 doc, g = shingles(data, offs)
                 cut = np.searchsorted(doc, np.arange(len(offs)))
                 for k in range(len(offs) - 1):
-                    sets[ids[row + k]] = np.unique(g[cut[k] : cut[k + 1]])
+                    own, new = sets.setdefault(ids[row + k], []), np.unique(g[cut[k] : cut[k + 1]])
+                    if len(new) and not any(np.array_equal(x, new) for x in own):
+                        own.append(new)
     a, b = edges.column("a").to_numpy(), edges.column("b").to_numpy()
-    good = np.zeros(len(a), bool)
-    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-        u, v = sets[x], sets[y]
-        if len(u) > len(v):
-            u, v = v, u
-        at = np.minimum(np.searchsorted(v, u), len(v) - 1)
-        same = int((v[at] == u).sum())
-        good[k] = same >= SIMILAR * (len(u) + len(v) - same) - 1e-9
+    good = np.array([any(_similar(u, v) for u in sets[x] for v in sets[y]) for x, y in zip(a.tolist(), b.tolist())], bool)
     return pa.table({"a": a[good], "b": b[good]})
 
 
 def verified(text: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose shingle sets have a similarity of at least SIMILAR; text has id, text."""
-    comp = work_table(components(pairs), "candidate-components")
+    comp = components(pairs)
     size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     total = comp.count()
     buckets = max(1, -(-total // GROUP))
     part = lambda c: F.pmod(F.xxhash64(F.lit(5), c), F.col("parts")).cast("int")
     size = size.select("component", F.pmod(F.xxhash64("component"), F.lit(buckets)).cast("int").alias("bucket"), F.floor((F.col("size") - 1) / F.lit(2 * GROUP) + 1).cast("int").alias("parts"))
-    comp = comp.join(size, "component")
-    e = pairs.join(comp.withColumnRenamed("id", "a"), "a").withColumn("x", part("a")).withColumn("y", part("b"))
+    e = pairs.join(comp.withColumnRenamed("id", "a"), "a").join(size, "component").withColumn("x", part("a")).withColumn("y", part("b"))
     e = e.select("bucket", F.when(F.col("parts") > 1, F.col("component")).otherwise(F.lit(-1)).alias("c"), F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "a", "b")
-    need = comp.withColumn("x", part("id")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    need = need.select("id", "bucket", F.when(F.col("parts") > 1, F.col("component")).otherwise(F.lit(-1)).alias("c"), F.least("x", "o").alias("i"), F.greatest("x", "o").alias("j"))
-    # never broadcast: with more documents it would be the other join
-    t = packed(text, "text").join(need.hint("merge"), "id").select("bucket", "c", "i", "j", "id", "text")
+    e = work_table(e, "edges-by-cell")
+    # a text goes where it has an edge: to no more cells than its candidates are
     key = ["bucket", "c", "i", "j"]
-    e = e.select(*[F.col(k).alias(f"e_{k}") for k in key], "a", "b")  # other names: both sides come from one table
-    return t.groupBy(*key).cogroup(e.groupBy(*[f"e_{k}" for k in key])).applyInArrow(_verify, "a long, b long")
+    need = e.select(*key, F.explode(F.array("a", "b")).alias("id")).distinct()
+    # never broadcast: with more documents it would be the other join
+    t = packed(text, "text").join(need.hint("merge"), "id").select(*key, "id", "text")
+    e2 = e.select(*[F.col(k).alias(f"e_{k}") for k in key], "a", "b")  # other names: both sides come from one table
+    links = work_table(t.groupBy(*key).cogroup(e2.groupBy(*[f"e_{k}" for k in key])).applyInArrow(_verify, "a long, b long"), "links")
+    release(comp, e)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(id, class_id) of each row, and the audit: pairs within the radius and pairs that the graphs found, over all shards."""
+    """(id, class_id, graph_recall) of each row, and the audit: audited pairs within the radius and how many of them the graphs found, over all shards."""
+    spark = docs.sparkSession
     kept = keep_columns(docs, id_col, text_col)
     text = kept.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     prints = work_table(text.mapInArrow(_fingerprints, "id long, n long, set_a long, set_b long, sim_a long, sim_b long, low array<bigint>"), "fingerprints")
     key = ["set_a", "set_b", "n"]
     sets = prints.groupBy(*key).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sim_a").alias("sim_a"), F.first("sim_b").alias("sim_b"), F.first("low").alias("low"))
     sets = work_table(sets, "shingle-sets")
+    total = prints.count()
     nodes = sets.select(F.col("rep").alias("id"), "n", "sim_a", "sim_b", "low")
-    # copies meet their first in salted parts, for a set that very many rows share
-    many = sets.filter("copies > 1").select(*key, "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    equal = prints.select("id", *key, F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")).join(many, [*key, "salt"]).filter("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    first = work_table(candidates(nodes, None, NEAREST), "candidates")
-    audit = first.filter("a = 0 AND b = 0").agg(F.coalesce(F.sum("truth"), F.lit(0)).alias("truth"), F.coalesce(F.sum("found"), F.lit(0)).alias("found"))
-    seen = audit.first()
-    log.warning("graph recall: %d of %d pairs within the radius, the others added by comparison", seen.found, seen.truth)
+    beam = BEAM
+    while True:
+        first = work_table(candidates(nodes, None, NEAREST, beam=beam), "candidates")
+        seen = first.filter("a = 0 AND b = 0").agg(F.coalesce(F.sum("truth"), F.lit(0)).alias("truth"), F.coalesce(F.sum("found"), F.lit(0)).alias("found")).first()
+        log.warning("graph recall with beams from %d: %d of %d audited pairs within the radius", beam, seen.found, seen.truth)
+        if seen.found >= RECALL * seen.truth or beam >= 2 * CAP:
+            break
+        release(first)
+        beam *= 4
     pairs = work_table(first.filter("a != b").select("a", "b").distinct(), "pairs")
-    links = work_table(verified(text, pairs), "links")
+    links = all_links = verified(text, pairs)
+    more = rest = None
     ask = first.filter("more").select(F.explode(F.array("a", "b")).alias("id")).distinct()
     if ask.limit(1).count():
-        classes = work_table(components(links), "first-classes")
-        rest = candidates(nodes, classes, None, ask).filter("a != b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        links = links.unionByName(work_table(verified(text, work_table(rest, "more-pairs")), "more-links"))
-    classes = components(links.unionByName(equal)).groupBy("id").agg(F.min("component").alias("component"))
-    rows = kept.select(F.col(id_col))
-    out = rows.join(classes, F.col(id_col).cast("long") == F.col("id"), "left").select(id_col, F.coalesce("component", F.col(id_col).cast("long")).alias("class_id"))
-    return out, audit
+        classes = components(links)
+        rest = work_table(candidates(nodes, classes, None, ask, beam).filter("a != b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+        more = verified(text, rest)
+        all_links = links.unionByName(more)
+        release(classes)
+    # a document of several texts joins their sets
+    several = prints.groupBy("id").agg(F.min("set_a").alias("x"), F.max("set_a").alias("y")).filter("x != y").select("id")
+    own = prints.join(several, "id").select("id", *key).join(sets.select(*key, "rep"), key).select("id", "rep")
+    own = own.groupBy("id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("b")).select("a", F.explode("b").alias("b"))
+    comp = components(all_links.unionByName(own))
+    classes = sets.select(*key, "rep", "copies").join(comp.groupBy("id").agg(F.min("component").alias("component")).withColumnRenamed("id", "rep"), "rep", "left")
+    classes = classes.select(*key, "copies", F.coalesce("component", "rep").alias("component"))
+    members = split_join(prints.select("id", *key), classes, key, "copies", "id", total).groupBy("id").agg(F.min("component").alias("component"))
+    members = work_table(members, "members")
+    release(prints, sets, first, pairs, links, rest, more, comp)
+    out = kept.select(F.col(id_col)).join(members, F.col(id_col).cast("long") == F.col("id"), "left")
+    recall = float(seen.found / seen.truth) if seen.truth else 1.0
+    out = out.select(id_col, F.coalesce("component", F.col(id_col).cast("long")).alias("class_id"), F.lit(recall).alias("graph_recall"))
+    return out, spark.createDataFrame([(int(seen.truth), int(seen.found))], "truth long, found long")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, without those whose class has an earlier document."""
     classes, _ = near_duplicates(docs, id_col, text_col)
     drop = classes.filter(F.col("class_id") != F.col(id_col)).select(F.col(id_col).alias("__drop")).distinct()
-    return docs.join(drop, docs[f"`{id_col}`"] == F.col("__drop"), "left_anti")
+    where = [i for i, c in enumerate(docs.columns) if c == id_col][0]
+    flat = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
+    return flat.join(drop, flat[f"_{where}"] == F.col("__drop"), "left_anti").toDF(*docs.columns)
 
 
 def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
