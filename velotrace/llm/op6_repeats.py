@@ -1,16 +1,16 @@
 """Substring dedup by recompression: words in repeated 20-word windows are removed, but for each window's first occurrence.
 
-Naming. A text is a string of 64-bit word names. One round names runs of a word, two more name pairs (a word of the left half of the alphabet before
-one of the right half), growing only symbols that are still short. A name is a hash of what it stands for, so all tasks agree on it without a
-dictionary. Whether a symbol of the last level begins at a place depends on the REACH words on either side alone; so wherever a text repeats, it
-splits alike, but for its rims. The words around such a place are named too; of the places that lie within a window with all their reach, the one with
-the least name stands for the window. (A window inside one long run has no such place and stands for itself.) Each window has one, so equal windows
-share it.
-
-Rounds over Spark: 1. The names of all places are counted; those seen once can't be in a repeat. 2. For the windows of the others, a name of the
-whole window is made, and a window is removed where its name (96 bits, with that of its place) was seen earlier. 3. Each text is cut.
-What a batch can settle by itself it settles: repeats within it are found at once, and of each name one row leaves it. So a passage that a third of
-all documents hold sends one row a batch.
+Symbols. A text is a string of symbols: at first each run of an equal word is one, then ROUNDS rounds of pairs follow, in each of which a symbol of the
+left half of the alphabet joins one of the right half after it. Which half a symbol is in changes by the round. A symbol's name comes from the names of
+its parts alone, so all tasks give equal runs and pairs the same name, everywhere. Each symbol also carries the words that decided that it is there: its
+own, and those of neighbours that it could have joined instead. Where these words repeat, so does the symbol. So the longest symbol whose deciding words
+all lie in a window (ties: the greatest name) is the same in all equal windows; it stands for the window. A window inside one long run has no such
+symbol and stands for itself.
+
+Rounds over Spark: 1. The names of the symbols that stand for windows are counted globally; what only one place holds can't be in a repeat. 2. The
+windows of shared symbols meet by name, as rows of words, one for each stretch of windows with the same symbol. Equal words (compared byte by byte)
+in an earlier place make a repeat. 3. Each text is cut. What a batch can settle by itself it settles: repeats within it are found at once, and of each
+name one row leaves it. So a passage that a third of all documents hold sends one row a batch.
 
 Defined results: null and empty texts have no words; a null doc_id is passed on unchanged and is nobody's earlier document; rows of one doc_id are
 one document at the same places, and don't remove each other's words; an empty table gives none; extra columns are kept where text is returned.
@@ -28,67 +28,75 @@ from pyspark.sql.window import Window
 
 from .common import U, chunks, constants, gram_hashes, joined, keep_columns, mix, packed, parts, spans, starts_of, table, unpacked, word_hashes
 
-WINDOW, REACH = 20, 4
-TOP = U(0xFFFFFFFFFFFFFFFF)
-_PAIR = constants(9, 8)
+WINDOW, ROUNDS, LONGEST = 20, 4, 12
+PLACE = U(31)
+_PAIR = constants(9, 3 + ROUNDS)
 
 
-def symbols(h: np.ndarray, wfirst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, name) of the symbols after one round of runs and two of pairs. Texts don't join."""
+def symbols(h: np.ndarray, wfirst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last + 1 of the words that decide it, number of its words, name) of every symbol that any round makes. Texts don't join."""
     n = len(h)
     edge = np.zeros(n + 1, bool)
     edge[wfirst] = True
     with np.errstate(over="ignore"):
         new = edge[:n].copy()
-        if n:
-            new[0] = True
-            new[1:] |= h[1:] != h[:-1]
+        new[:1] = True
+        new[1:] |= h[1:] != h[:-1]
         at = np.flatnonzero(new)
         size = np.diff(np.append(at, n))
         name = mix(h[at] * _PAIR[0] + size.astype(U))
-        for turn, longest in ((1, 1), (2, 2)):
-            left = mix(name ^ _PAIR[turn]) & U(1) == 0
-            short = size <= longest
-            join = left[:-1] & ~left[1:] & short[:-1] & short[1:] & ~edge[at[1:]]
-            first = np.ones(len(at), bool)
-            first[1:] = ~join
-            pair = np.append(join, False)
-            name = np.where(pair, mix(name * _PAIR[3] + np.append(name[1:], U(0)) * _PAIR[4]), name)[first]
-            at = at[first]
-            size = np.diff(np.append(at, n))
-    return at, name
-
-
-def _least(rank: np.ndarray) -> np.ndarray:
-    """The least rank of the places of each window, by its first word."""
-    low, width, need = rank[REACH:], 1, WINDOW - 2 * REACH + 1
-    while 2 * width <= need:
-        low = np.minimum(low[:-width], low[width:])
-        width *= 2
-    return np.minimum(low[: len(low) - (need - width)], low[need - width :])
+        lo, hi = at - 1, at + size + 1  # a run ends where other words are
+        made = [(lo, hi, size, name)]
+        for turn in range(ROUNDS):
+            left = mix(name ^ _PAIR[3 + turn]) & U(1) == 0
+            k = np.flatnonzero(left[:-1] & ~left[1:] & (size[:-1] + size[1:] <= LONGEST) & ~edge[at[1:]])
+            pair = np.minimum(lo[k], lo[k + 1]), np.maximum(hi[k], hi[k + 1]), size[k] + size[k + 1], mix(name[k] * _PAIR[1] + name[k + 1] * _PAIR[2])
+            made.append(pair)
+            # one that stays alone is decided by the neighbour that it could have joined, too
+            low, high = lo.copy(), hi.copy()
+            i = np.flatnonzero(left[:-1])
+            low[i], high[i] = np.minimum(lo[i], lo[i + 1]), np.maximum(hi[i], hi[i + 1])
+            i = np.flatnonzero(~left[1:]) + 1
+            low[i], high[i] = np.minimum(lo[i], lo[i - 1]), np.maximum(hi[i], hi[i - 1])
+            lo, hi, size, name = low, high, size.copy(), name.copy()
+            lo[k], hi[k], size[k], name[k] = pair
+            stay = np.ones(len(at), bool)
+            stay[k + 1] = False
+            at, lo, hi, size, name = at[stay], lo[stay], hi[stay], size[stay], name[stay]
+    return tuple(np.concatenate(x) for x in zip(*made))
+
+
+def _best(score: np.ndarray, first: np.ndarray, turns: list[np.ndarray], n: int) -> np.ndarray:
+    """The greatest score of the symbols of each window, by its first word. turns[m]: the symbols that lie in m windows, from `first` on."""
+    out = np.zeros(n + 2 * WINDOW, U)
+    for m in range(len(turns) - 1, 0, -1):
+        np.maximum.at(out, first[turns[m]] + WINDOW, score[turns[m]])
+        if m > 1:  # what holds in m windows from here on holds in m - 1 from here, and from the next
+            out[1:] = np.maximum(out[1:], out[:-1])
+    return out[WINDOW : WINDOW + n]
 
 
 def places(h: np.ndarray, wfirst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first word, name of the place that stands for it, whether to count the place anew: the window before has another, or the window holds the name twice) of each window."""
+    """(document, first word, name of the symbol that stands for it, whether to count the symbol anew: the window before has another, or the window holds it twice) of each window."""
     doc, at = starts_of(wfirst, WINDOW)
     if not len(at):
         return doc, at, np.zeros(0, U), np.zeros(0, bool)
-    begin, _ = symbols(h, wfirst)
-    rank = np.full(len(h), TOP)
-    begin = begin[(begin >= REACH) & (begin + REACH <= len(h))]
-    # the last four bits tell places of one name apart: a window has 13
-    name = gram_hashes(h, 2 * REACH)[begin - REACH] & ~U(15)
-    rank[begin] = name | (begin & 15).astype(U)
-    key = _least(rank)[at]
-    none = key == TOP
-    # of places of one name, the ranks in reverse order choose another: such windows may equal others that share their place
-    rank[begin] = name | (15 - (begin & 15)).astype(U)
-    many = ((key ^ _least(rank)[at]) != U(15)) & ~none
-    if none.any():
-        key[none] = gram_hashes(h, WINDOW, 20)[at[none]] & ~U(15) | (at[none] & 15).astype(U)
+    lo, hi, size, name = symbols(h, wfirst)
+    fits = hi - lo <= WINDOW
+    lo, hi, size, name = lo[fits], hi[fits], size[fits], name[fits]
+    turns = [np.flatnonzero(hi - lo == WINDOW + 1 - m) for m in range(WINDOW - 1)]
+    # the last five bits tell places of one name apart, which a window may hold
+    score = size.astype(U) << U(59) | (name >> U(10)) << U(5)
+    place = ((lo + WINDOW) & 31).astype(U)
+    key = _best(score | place, hi - WINDOW, turns, len(h))[at]
+    other = _best(score | (PLACE - place), hi - WINDOW, turns, len(h))[at]
+    none = key == 0
+    many = ((key ^ other) != PLACE) & ~none
     new = np.ones(len(at), bool)
-    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | many[1:]
-    return doc, at, key | U(15), new
+    if none.any():
+        key[none] = gram_hashes(h, WINDOW, 20)[at[none]] >> U(10) << U(5)
+    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | many[1:] | none[1:]
+    return doc, at, key | PLACE, new
 
 
 def _names(batches):
@@ -122,6 +130,45 @@ def _names(batches):
         )
 
 
+def _equal(buf: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, slice_: int = 1 << 17) -> np.ndarray:
+    """Whether the n bytes at a and at b are the same."""
+    out = np.ones(len(a), bool)
+    for lo in range(0, len(a), slice_):
+        size = n[lo : lo + slice_]
+        begin = np.cumsum(size) - size
+        step = np.arange(int(size.sum())) - np.repeat(begin, size)
+        if len(step):
+            out[lo : lo + slice_] = np.logical_and.reduceat(buf[np.repeat(a[lo : lo + slice_], size) + step] == buf[np.repeat(b[lo : lo + slice_], size) + step], begin)
+    return out
+
+
+def _late(key, gram, doc, start, buf, a, size) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows by symbol, hash, document, first word and bytes: which have the words of an earlier one, and which are the first of their words."""
+    order = np.lexsort((start, doc, gram, key))
+    same = np.zeros(len(order), bool)
+    same[1:] = (key[order][1:] == key[order][:-1]) & (gram[order][1:] == gram[order][:-1])
+    head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+    first, late = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    first[order] = ~same
+    d, s = doc[order], start[order]
+    after = (d > doc[head]) | (s > start[head])
+    i, j = order[after], head[after]
+    even = size[i] == size[j]
+    i, j = i[even], j[even]
+    late[i[_equal(buf, a[i], a[j], size[i])]] = True
+    return late, first
+
+
+def _runs(doc, start, *same) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the first, number) of windows that follow each other in one document with the same other values."""
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
+    for x in same:
+        new[1:] |= x[1:] != x[:-1]
+    at = np.flatnonzero(new)
+    return at, np.diff(np.append(at, len(doc)))
+
+
 def _windows(batches):
     for batch in batches:
         order = np.argsort(batch.column(0).to_numpy(zero_copy_only=False), kind="stable")
@@ -132,7 +179,7 @@ def _windows(batches):
         counts = np.diff(known.offsets.to_numpy())
         with np.errstate(over="ignore"):
             wanted = np.unique(mix(flat + mix(np.repeat(np.arange(len(counts)), counts).astype(U))))
-        out = []
+        out, bufs, total = [], [], 0
         for row, data, offs in chunks(unpacked(batch.column(1))):
             starts, ends, wfirst = spans(data, offs)
             h = word_hashes(data, starts, ends)
@@ -142,37 +189,75 @@ def _windows(batches):
             with np.errstate(over="ignore"):
                 code = mix(key + mix((row + doc).astype(U)))
             slot = np.minimum(np.searchsorted(wanted, code), max(len(wanted) - 1, 0))
-            yes = wanted[slot] == code if len(wanted) else np.zeros(len(code), bool)
-            if yes.any():
-                out.append((ids[row + doc[yes]], (at - wfirst[doc])[yes], gram_hashes(h, WINDOW, 20)[at[yes]], (key[yes] >> U(32)).astype(np.uint32).view(np.int32)))
+            yes = np.flatnonzero(wanted[slot] == code) if len(wanted) else np.zeros(0, int)
+            if len(yes):
+                text, begin = _words(data, starts, ends)
+                at = at[yes]
+                a = begin[at]
+                out.append((ids[row + doc[yes]], at - wfirst[doc[yes]], key[yes], gram_hashes(h, WINDOW, 20)[at], a + total, begin[at + WINDOW] - 1 - a, row + doc[yes]))
+                bufs.append(text)
+                total += len(text)
         if not out:
             continue
-        doc, start, name, place = (np.concatenate(x) for x in zip(*out))
-        order = np.lexsort((place, name)) if len(name) else np.zeros(0, int)  # stable: by doc and start within
-        same = np.zeros(len(order), bool)
-        same[1:] = (name[order][1:] == name[order][:-1]) & (place[order][1:] == place[order][:-1])
-        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-        d, s = doc[order], start[order]
-        late = np.zeros(len(order), bool)
-        late[order] = (d > d[head]) | (s > s[head])
-        # known repeats, as ranges of starts
-        d, s = doc[late], start[late]
-        new = np.ones(len(d), bool)
-        new[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1)
-        n = np.diff(np.append(np.flatnonzero(new), len(d)))
-        d, s, left = d[new], s[new], ~late
+        doc, start, key, gram, a, size, row = (np.concatenate(x) for x in zip(*out))
+        buf = np.concatenate(bufs)
+        late, _ = _late(key, gram, doc, start, buf, a, size)
+        # known repeats, as ranges of starts without words
+        i, n = _runs(row[late], start[late])
+        d, s = doc[late][i], start[late][i]
+        left = np.flatnonzero(~late)
+        j, m = _runs(row[left], start[left], key[left])
+        view = buf.tobytes()
+        texts = [view[x:y] for x, y in zip(a[left[j]].tolist(), (a + size)[left[j + m - 1]].tolist())]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.concatenate([name[left].view(np.int64), mix(d.view(U) ^ mix(s.astype(U))).view(np.int64)])),
-                pa.array(np.concatenate([place[left], np.zeros(len(d), np.int32)])),
-                pa.array(np.concatenate([doc[left], d])),
-                pa.array(np.concatenate([start[left], s]).astype(np.int32)),
-                pa.array(np.concatenate([np.zeros(int(left.sum()), np.int32), n.astype(np.int32)])),
+                pa.array(np.concatenate([key[left[j]].view(np.int64), mix(d.view(U) ^ mix(s.astype(U))).view(np.int64)])),
+                pa.array(np.concatenate([doc[left[j]], d])),
+                pa.array(np.concatenate([start[left[j]], s]).astype(np.int32)),
+                pa.array(np.concatenate([m, n]).astype(np.int32)),
+                pa.array(texts + [None] * len(d), pa.binary()),
             ],
-            ["name", "place", "doc", "start", "n"],
+            ["key", "doc", "start", "n", "words"],
         )
 
 
+def _words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the words with a space after each, where each begins, and the end)."""
+    size = ends - starts + 1
+    begin = np.cumsum(size) - size
+    out = data[np.minimum(np.arange(int(size.sum())) + np.repeat(starts - begin, size), len(data) - 1)]
+    out[begin + size - 1] = 32
+    return out, np.append(begin, len(out))
+
+
+def _settle(batches):
+    """Rows sorted by key, doc, start; the first occurrences of the last key's windows go on to the next batch."""
+    carry = None
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 8192):
+            batch = whole.slice(lo, 8192)
+            open_ = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
+            doc, start, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2, 3))
+            found = [(doc[~open_], start[~open_], n[~open_])]
+            rows = batch.filter(pa.array(open_))
+            if rows.num_rows:
+                old = 0 if carry is None else carry.num_rows
+                rows = pa.Table.from_batches([rows] if carry is None else [carry, rows]).combine_chunks().to_batches()[0]
+                key, doc, start = rows.column(0).to_numpy().view(U), rows.column(1).to_numpy(), rows.column(2).to_numpy()
+                _, data, offs = next(chunks(rows.column(4), 1 << 40))
+                starts, ends, wfirst = spans(data, offs)
+                row, at = starts_of(wfirst, WINDOW)
+                a, s = starts[at], start[row] + at - wfirst[row]
+                late, first = _late(key[row], gram_hashes(word_hashes(data, starts, ends), WINDOW, 20)[at], doc[row], s, data, a, ends[at + WINDOW - 1] - a)
+                new = late & (row >= old)
+                i, m = _runs(row[new], s[new])
+                found.append((doc[row[new]][i], s[new][i], m))
+                keep = np.unique(row[first])
+                carry = rows.take(pa.array(keep[key[keep] == key[-1]]))
+            d, s, m = (np.concatenate(x) for x in zip(*found))
+            yield pa.RecordBatch.from_arrays([pa.array(d.astype(np.int64)), pa.array(s.astype(np.int32)), pa.array(m.astype(np.int32))], ["doc", "start", "n"])
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows doc, cut: the ranges (start, n) of removed windows of each document that has any."""
     text = keep_columns(docs, id_col, text_col).filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
@@ -180,10 +265,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     seen = text.mapInArrow(_names, "part long, doc long, own long")
     seen = seen.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("part")))
     hits = seen.filter("doc IS NOT NULL AND (own IS NOT NULL OR times > 1)").groupBy("doc").agg(F.collect_set(F.coalesce("own", "part")).alias("keys"))
-    found = packed(text, "text").join(hits, "doc").select("doc", "text", "keys").mapInArrow(_windows, "name long, place int, doc long, start int, n int")
-    found = found.withColumn("turn", F.rank().over(Window.partitionBy("name", "place").orderBy("doc", "start")))
-    found = found.filter("n > 0 OR turn > 1").select("doc", F.struct("start", F.greatest("n", F.lit(1)).alias("n")).alias("cut"))
-    return found.groupBy("doc").agg(F.collect_list("cut").alias("cut"))
+    found = packed(text, "text").join(hits, "doc").select("doc", "text", "keys").mapInArrow(_windows, "key long, doc long, start int, n int, words binary")
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = found.repartition(partitions, "key").sortWithinPartitions("key", "doc", "start").mapInArrow(_settle, "doc long, start int, n int")
+    return found.select("doc", F.struct("start", "n").alias("cut")).groupBy("doc").agg(F.collect_list("cut").alias("cut"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", outputs: str = "digests") -> DataFrame:
