@@ -4,9 +4,9 @@ Each language has a codeword; one binary n-gram classifier per bit predicts its
 the language whose codeword has the least loss, the bits being weighted by how well their classifiers do in training; where the runner-up is close,
 the row is flagged as ambiguous.
 
-Training: every language that has a labelled row is learned, from its first `per_lang` such rows in the order of a hash of doc_id. Their n-gram counts,
-not texts, come to the driver. Where languages are many, each has fewer rows, so that about `rows_most` rows in all are learned from, but at least one a
-language. Prediction reads every whole text.
+Training: every language that has a labelled row is learned, from its first `per_lang` different rows in the order of a hash of doc_id and text; rows
+without doc_id count too, equal rows once. Their n-gram counts, not texts, come to the driver. Where languages are many, each has fewer rows, so that
+about `rows_most` rows in all are learned from, but at least one a language. Prediction reads every whole text.
 
 Defined results: null text and text without a letter are `und` with score 0; ties fall to the smaller language; without training rows all is
 `und`; repeated rows give equal rows; an empty table gives none; extra columns are ignored.
@@ -25,6 +25,8 @@ from pyspark.sql.window import Window
 from .common import chunks, keep_columns, table
 
 DIM, PER_LANG, ROWS_MOST = 4096, 300, 300 * 64
+#: Rows whose counts are held at once: 8 MB.
+SLICE = 256
 AMBIGUOUS = 0.6
 LETTER = np.full(256, 32, np.uint8)
 for _b in range(256):
@@ -56,6 +58,14 @@ def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
+def feature_slices(column: pa.Array):
+    """(first row, features) of at most SLICE rows at a time."""
+    for row, data, offs in chunks(column):
+        for lo in range(0, len(offs) - 1, SLICE):
+            part = offs[lo : lo + SLICE + 1]
+            yield row + lo, features(data[part[0] : part[-1]], part - part[0])
+
+
 def codewords(n: int) -> np.ndarray:
     """n codewords of +1 and -1: all splits of up to five languages, else the best spread of random codes."""
     if n <= 1:
@@ -83,18 +93,19 @@ def codewords(n: int) -> np.ndarray:
 def fit(x: np.ndarray, y: np.ndarray, langs: list[str], rounds: int = 150, rate: float = 20.0, decay: float = 1e-5) -> dict:
     """One logistic classifier a bit, by gradient steps with momentum; bit weights from training accuracy."""
     code = codewords(len(langs))
-    want = code[y]
-    w, v = np.zeros((x.shape[1] + 1, code.shape[1])), 0.0
-    x1 = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
+    want = code[y].astype(np.float32)
+    w, v = np.zeros((x.shape[1], code.shape[1]), np.float32), 0.0
+    bias, vb = np.zeros(code.shape[1], np.float32), 0.0
     count = np.bincount(y, minlength=len(langs))
-    share = (1.0 / (len(langs) * count[y]))[:, None]
+    share = (1.0 / (len(langs) * count[y]))[:, None].astype(np.float32)
     for _ in range(rounds):
-        z = x1 @ w * want
-        grad = -(x1.T @ (want * share / (1 + np.exp(np.clip(z, -50, 50))))) + decay * w
-        v = 0.9 * v - rate * grad
-        w = w + v
-    right = ((x1 @ w * want) > 0).mean(0)
+        pull = want * share / (1 + np.exp(np.clip((x @ w + bias) * want, -50, 50)))
+        v = np.float32(0.9) * v + np.float32(rate) * (x.T @ pull - np.float32(decay) * w)
+        vb = np.float32(0.9) * vb + np.float32(rate) * (pull.sum(0) - np.float32(decay) * bias)
+        w, bias = w + v, bias + vb
+    right = ((x @ w + bias) * want > 0).mean(0)
     weight = np.maximum(right - 0.5, 1e-3)
+    w = np.vstack([w, bias])
     return {"w": w.astype(np.float32), "code": code, "bit": weight / weight.sum(), "langs": langs}
 
 
@@ -102,6 +113,7 @@ def decode(margins: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np
     """(language number, score, ambiguous) of each row: least weighted logistic loss over the codewords."""
     up, down = (np.logaddexp(0, z) * model["bit"] for z in (-margins, margins))
     loss = up @ (model["code"] > 0).T + down @ (model["code"] < 0).T
+    loss = loss.round(9)  # ties are not left to rounding
     e = np.exp(-(loss - loss.min(1, keepdims=True)) * 4)
     p = e / e.sum(1, keepdims=True)
     best = loss.argmin(1)
@@ -116,21 +128,24 @@ def train(docs: DataFrame, rows, per_lang: int = PER_LANG, rows_most: int = ROWS
     if not langs:
         return None
     per_lang = max(1, min(per_lang, rows_most // len(langs)))
-    ranked = d.select(id_col, lang_col).withColumn("_rank", F.row_number().over(Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)))
-    ids = ranked.filter(F.col("_rank") <= per_lang).select(id_col).distinct()
+    d = d.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("h"))
+    # ranks of hashes alone; of each partition only the first few rows a language leave it
+    ranked = d.select("lang", "h").withColumn("_rank", F.dense_rank().over(Window.partitionBy("lang").orderBy("h")))
+    chosen = ranked.filter(F.col("_rank") <= per_lang).select("lang", "h").distinct()
+    rows_ = d.join(F.broadcast(chosen), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.first("text").alias("text"))
 
     def count(batches):
         for batch in batches:
-            for row, data, offs in chunks(batch.column(0)):
-                x = features(data, offs)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(row, len(x)), pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))], ["lang", "x"])
-
-    got = d.join(F.broadcast(ids), id_col, "left_semi").select(text_col, lang_col).mapInArrow(count, "lang string, x array<float>").toArrow()
-    x = np.array(got.column("x").combine_chunks().flatten()).reshape(-1, DIM)
-    order = np.lexsort((x.sum(1), got.column("lang").to_numpy(zero_copy_only=False).astype(str)))
+            for row, x in feature_slices(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(row, len(x)), batch.column(2).slice(row, len(x)), pa.array(list(x), pa.list_(pa.float32()))], ["lang", "h", "x"])
+
+    got = rows_.select("text", "lang", "h").mapInArrow(count, "lang string, h long, x array<float>").toArrow()
+    h, names = got.column("h").to_numpy(), got.column("lang").to_numpy(zero_copy_only=False).astype(str)
+    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, DIM)
+    del got
+    order = np.lexsort((h, names))
     number = {v: i for i, v in enumerate(langs)}
-    y = np.array([number[v] for v in got.column("lang").to_pylist()])
-    return fit(x[order], y[order], langs)
+    return fit(x[order], np.array([number[v] for v in names[order]]), langs)
 
 
 def identify(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **bounds) -> DataFrame:
@@ -145,14 +160,13 @@ def identify(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: s
         m = shared.value
         for batch in batches:
             letters = batch.column(3).to_numpy(zero_copy_only=False)
-            for row, data, offs in chunks(batch.column(2)):
-                n = len(offs) - 1
+            for row, x in feature_slices(batch.column(2)):
+                n = len(x)
                 some = letters[row : row + n].astype(bool)
                 if m is None:
                     some = np.zeros(n, bool)
                     best, score, unsure = np.zeros(n, int), np.zeros(n), np.ones(n, bool)
                 else:
-                    x = features(data, offs)
                     best, score, unsure = decode(x @ m["w"][:-1] + m["w"][-1], m)
                 names = m["langs"] if m else ["und"]
                 pred = [names[k] if s else "und" for k, s in zip(best, some)]
