@@ -17,55 +17,66 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class SmallWorld:
-    """Points join in a random order; each is linked to its nearest points so far, so that early points keep long links."""
+    """Points join in a random order, in growing batches. Each keeps links to its nearest points so far, so that early points keep long links; to the nearest of those
+    that chose it later; and to the loneliest of those whose nearest point it is, so that no cluster loses its way in. Searches start from the best of the first points."""
 
-    def __init__(self, points: np.ndarray, links: int = 8, most: int = 16, beam: int = 24, seed: int = 1):
+    def __init__(self, points: np.ndarray, links: int = 8, lonely: int = 4, beam: int = 16, starts: int = 256, seed: int = 1):
         n = len(points)
-        self.points, self.links = points, np.full((n, most), -1, np.int64)
-        self.degree, self.size = np.zeros(n, np.int64), 0
-        order = np.random.default_rng(seed).permutation(n)
-        self.order, done = order, 0
-        while done < n:
-            batch = order[done : done + max(32, min(512, done))]
+        self.points, self.own, self.starts = points, links, starts
+        self.links = np.full((n, 2 * links + lonely), -1, np.int64)
+        self.order, self.size = np.random.default_rng(seed).permutation(n), 0
+        while self.size < n:
+            batch = self.order[self.size : self.size + max(32, min(512, self.size))]
             d_in = hamming(points[batch][:, None], points[batch][None])
             np.fill_diagonal(d_in, FAR)
             near = np.argsort(d_in, 1, kind="stable")[:, :links]
             ids, dist = batch[near], np.take_along_axis(d_in, near, 1)
-            if done:
-                got, gd = self.search(points[batch], min(beam, done))
+            if self.size:
+                got, gd = self.search(points[batch], min(beam, self.size))
                 ids, dist = np.concatenate([got, ids], 1), np.concatenate([gd, dist], 1)
             pick = np.argsort(dist, 1, kind="stable")[:, :links]
             self._connect(batch, np.take_along_axis(ids, pick, 1), np.take_along_axis(dist, pick, 1))
-            done += len(batch)
-            self.size = done
+            self.size += len(batch)
+        # both ways, for the steps within a radius: a point that many equal ones chose leads to all of them
+        row, col = np.nonzero(self.links >= 0)
+        to = self.links[row, col]
+        code = np.unique(np.concatenate([row * n + to, to * n + row]))
+        self.begin, self.ends = np.searchsorted(code, np.arange(n + 1) * n), code % max(n, 1)
 
     def _connect(self, new: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> None:
-        most, half = self.links.shape[1], self.links.shape[1] // 2
-        for k, row in enumerate(new.tolist()):
-            for j, d in zip(ids[k].tolist(), dist[k].tolist()):
-                if d >= FAR or j < 0:
-                    continue
-                for a, b in ((row, j), (j, row)):
-                    own = self.links[a]
-                    if (own == b).any():
-                        continue
-                    if self.degree[a] < most:
-                        own[self.degree[a]] = b
-                        self.degree[a] += 1
-                    else:  # the first half stays: long links
-                        far = hamming(self.points[own[half:]], self.points[a])
-                        k2 = int(far.argmax())
-                        if far[k2] > d:
-                            own[half + k2] = b
+        k = self.own
+        self.links[new, : ids.shape[1]] = np.where(dist < FAR, ids, -1)
+        row, col = np.nonzero(dist < FAR)
+        self._back(ids[row, col], new[row], dist[row, col], slice(k, 2 * k), 1)
+        row = np.flatnonzero(dist[:, 0] < FAR)
+        self._back(ids[row, 0], new[row], dist[row, 0], slice(2 * k, None), -1)
+
+    def _back(self, at: np.ndarray, new: np.ndarray, dist: np.ndarray, slots: slice, sign: int) -> None:
+        """Offers links from `at` to `new`; the slots keep the nearest, or with a negative sign the farthest."""
+        width = self.links[:1, slots].shape[1]
+        order = np.lexsort((sign * dist, at))
+        at, new, dist = at[order], new[order], dist[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        at, new, dist, rank = (x[rank < width] for x in (at, new, dist, rank))
+        nodes, where = np.unique(at, return_inverse=True)
+        old = self.links[nodes, slots]
+        ids = np.concatenate([old, np.full((len(nodes), width), -1)], 1)
+        d = np.full(ids.shape, FAR if sign > 0 else -1)
+        d[:, :width] = np.where(old >= 0, hamming(self.points[old], self.points[nodes][:, None]), d[:, :width])
+        ids[where, width + rank], d[where, width + rank] = new, dist
+        pick = np.argsort(sign * d, 1, kind="stable")[:, :width]
+        self.links[nodes, slots] = np.take_along_axis(ids, pick, 1)
 
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, distances) of the beam's points for each query, nearest first; missing places have id -1."""
         q, none = len(queries), np.int64(FAR) << 34
-        start = self.order[: min(4, max(self.size, 1))]
+        start = self.order[: min(self.starts, max(self.size // 8, 32), max(self.size, 1))]
         keys = np.full((q, beam), none)
         first = hamming(queries[:, None], self.points[start][None]) << 34 | start << 1 | 1
+        if first.shape[1] > beam:
+            first = np.partition(first, beam - 1, 1)[:, :beam]
         first.sort(1)
-        keys[:, : min(beam, len(start))] = first[:, :beam]
+        keys[:, : first.shape[1]] = first
         live = np.arange(q)
         while len(live):
             k = keys[live]
@@ -92,16 +103,29 @@ class SmallWorld:
         found = keys < none
         return np.where(found, keys >> 1 & 0xFFFFFFFF, -1), np.where(found, keys >> 34, FAR)
 
-    def within(self, queries: np.ndarray, radius: int, beam: int = 16):
-        """(query, point, distance) of points found within the radius; a beam that is full of them is doubled, up to all points."""
-        out, todo, n = [], np.arange(len(queries)), len(self.points)
-        while len(todo):
-            beam = min(beam, n)
-            ids, dist = self.search(queries[todo], beam)
-            full = (dist <= radius).all(1) & (beam < n)
-            qi, k = np.nonzero((dist <= radius) & ~full[:, None])
-            out.append((todo[qi], ids[qi, k], dist[qi, k]))
-            todo, beam = todo[full], beam * 2
+    def within(self, queries: np.ndarray, radius: int, beam: int = 16, block: int = 128):
+        """(query, point, distance) of points found within the radius: the beam's, and then, as long as any point within the radius is new, those next to it. So a beam grows to all its hits, and hits cost their links alone."""
+        ids, dist = self.search(queries, min(beam, len(self.points)))
+        out, n = [], len(self.points)
+        for lo in range(0, len(queries), block):
+            q = queries[lo : lo + block]
+            seen = np.zeros((len(q), n), bool)
+            qi, k = np.nonzero(ids[lo : lo + block] >= 0)
+            pi, d = ids[lo + qi, k], dist[lo + qi, k]
+            seen[qi, pi] = True
+            while True:
+                hit = d <= radius
+                qi, pi, d = qi[hit], pi[hit], d[hit]
+                if not len(qi):
+                    break
+                out.append((qi + lo, pi, d))
+                deg = self.begin[pi + 1] - self.begin[pi]
+                step = np.arange(int(deg.sum())) - np.repeat(np.cumsum(deg) - deg - self.begin[pi], deg)
+                code = np.repeat(qi, deg) * n + self.ends[step]
+                code = np.unique(code[~seen.ravel()[code]])
+                qi, pi = code // n, code % n
+                seen[qi, pi] = True
+                d = hamming(self.points[pi], q[qi])
         return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int),) * 3
 
 
