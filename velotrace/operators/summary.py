@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import is_indoor, iso_time, kmh, scaled_round
-from .tracks import with_steps
+from ..schemas import SESSION
+from .tracks import with_odometer, with_steps
 
 MOVING_KMH = 1.0
 
@@ -29,9 +30,10 @@ def moving(value: str) -> Column:
 
 
 def ride_totals(stepped: DataFrame) -> DataFrame:
-    """Unrounded totals and sensor statistics per activity, of points with with_steps columns."""
+    """Unrounded totals and sensor statistics per activity, of points with with_steps columns. With cum_dist_m, the distance is its last value: an odometer's, where files carry one."""
+    metres = F.max_by("cum_dist_m", "seq") if "cum_dist_m" in stepped.columns else F.sum("seg_m")
     return stepped.groupBy("activity_id").agg(
-        F.count(F.lit(1)).alias("points"), F.coalesce(F.sum("seg_m"), F.lit(0.0)).alias("distance_m"), duration_s().alias("duration_s"),
+        F.count(F.lit(1)).alias("points"), F.coalesce(metres, F.lit(0.0)).alias("distance_m"), duration_s().alias("duration_s"),
         F.avg("heart_rate").alias("avg_hr"), F.max("heart_rate").alias("max_hr"), F.avg("power").alias("avg_power"), F.max("power").alias("max_power"), F.avg("cadence").alias("avg_cadence"),
         F.coalesce(scaled_round(F.avg(moving("speed_kmh")), 1), F.lit(0.0)).alias("avg_speed"), F.coalesce(F.max("speed_kmh"), F.lit(0.0)).alias("max_speed"),
         F.coalesce(F.sum(moving("dt_s")), F.lit(0)).alias("moving_s"), ascent().alias("ascent_m"), descent().alias("descent_m"),
@@ -44,23 +46,33 @@ def last_valid(messages: DataFrame, fields: list[str], order: str = "seq") -> Da
     return messages.groupBy("activity_id").agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), F.col(order))).alias(f) for f in fields])
 
 
-def from_totals(totals: DataFrame) -> DataFrame:
+def own_session() -> dict[str, Column]:
     """Session fields of files without session messages: own totals where positive; moving is elapsed."""
     pos = lambda c: F.when(F.col(c) > 0, F.col(c).cast("double"))
-    return totals.select(
-        "activity_id", pos("distance_m").alias("total_distance_m"), pos("ascent_m").alias("total_ascent_m"), pos("descent_m").alias("total_descent_m"),
-        F.lit(None).cast("double").alias("max_speed_ms"), F.lit(None).cast("double").alias("avg_speed_ms"), pos("duration_s").alias("total_elapsed_s"), pos("duration_s").alias("total_timer_s"),
-        F.lit(None).cast("short").alias("sport"), F.lit(None).cast("short").alias("sub_sport"),
-    )
+    none = {"max_speed_ms": "double", "avg_speed_ms": "double", "sport": "short", "sub_sport": "short"}
+    own = {"total_distance_m": pos("distance_m"), "total_ascent_m": pos("ascent_m"), "total_descent_m": pos("descent_m"), "total_elapsed_s": pos("duration_s"), "total_timer_s": pos("duration_s")}
+    return own | {c: F.lit(None).cast(t) for c, t in none.items()}
+
+
+def from_totals(totals: DataFrame) -> DataFrame:
+    own = own_session()
+    names = [x.split()[0] for x in SESSION.split(", ")][1:]
+    return totals.select("activity_id", *[own[n].alias(n) for n in names])
 
 
-def summarize(points: DataFrame, activities: DataFrame | None = None, session: DataFrame | None = None, file_id: DataFrame | None = None) -> DataFrame:
-    """One row per activity, with the names of the JSON summary. activities adds rides without points."""
-    t = ride_totals(with_steps(points))
+def summarize(points: DataFrame, activities: DataFrame | None = None, session: DataFrame | None = None, file_id: DataFrame | None = None, odometer: bool = False) -> DataFrame:
+    """One row per activity, with the names of the JSON summary. activities adds rides without points; where it has own_session, its true rows get their session fields from their own totals."""
+    stepped = with_steps(points)
+    t = ride_totals(with_odometer(stepped) if odometer else stepped)
     if activities is not None:
-        t = activities.select("activity_id").distinct().join(t, "activity_id", "left")
-    s = session if session is not None else from_totals(t)
-    t = t.join(s, "activity_id", "left")
+        own = [F.col("own_session")] if "own_session" in activities.columns else []
+        t = activities.select("activity_id", *own).distinct().join(t, "activity_id", "left")
+    if session is None:
+        t = t.withColumns(own_session())
+    else:
+        t = t.join(session, "activity_id", "left")
+        if "own_session" in t.columns:
+            t = t.withColumns({n: F.when(F.col("own_session"), c).otherwise(F.col(n)) for n, c in own_session().items()})
     if file_id is not None:
         t = t.join(file_id, "activity_id", "left")
     else:

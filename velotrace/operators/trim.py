@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import TRIM_EARTH_M
@@ -31,3 +31,7 @@ def status(zoned: DataFrame) -> DataFrame:
     """The status line of each activity."""
     c = counts(zoned)
     return c.select("activity_id", F.to_json(F.struct(F.lit("ok").alias("status"), "stripped_start", "stripped_end")).alias("status"))
+
+
+def error_object(message: Column) -> Column:
+    return F.to_json(F.struct(F.lit("error").alias("status"), message.alias("message")))

@@ -238,6 +238,46 @@ def tcx_scan(spark, d):
     return p.select("activity_id", "seq", _r("lat", 9), _r("lon", 9), _r("elevation", 6), "t_fit", "heart_rate", "cadence", "power", _r("cum_dist_m", 2))
 
 
+def tcx_summary(spark, d):
+    """Totals of TCX rides whose points carry distances: the running odometer's last value."""
+    s = S.summarize(pseudo(spark, d), odometer=True)
+    return s.select("activity_id", "points", "distanceKm", "sessionDistanceKm", _r("sessionElevationGainM", 6), "durationMin")
+
+
+def tcx_conversion_report(spark, d):
+    return S.conversion_report(S.ride_totals(K.with_odometer(K.with_steps(pseudo(spark, d)))))
+
+
+def gpx_tracks(spark, d):
+    """Documents of several tracks and segments, of which some are empty."""
+    c = F.col
+    p = pseudo(spark, d).withColumn("x", F.format_string('<trkpt lat="%s" lon="%s"><ele>%s</ele></trkpt>', c("lat").cast("string"), c("lon").cast("string"), c("elevation").cast("string")))
+    g = p.groupBy("activity_id", F.floor(c("seq") / 7).alias("g")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "x"))), lambda s: s["x"]), "").alias("x"))
+    seg = F.concat(F.lit("<trkseg>"), "x", F.lit("</trkseg>"), F.when(F.pmod("g", F.lit(3)) == 0, "</trk><trk><name>next</name><trkseg/>").otherwise(""))
+    g = g.withColumn("x", seg).groupBy("activity_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "x"))), lambda s: s["x"]), "").alias("x"))
+    docs = g.select(c("activity_id").alias("path"), F.encode(F.concat(F.lit('<gpx version="1.1"><trk>'), "x", F.lit("</trk></gpx>")), "UTF-8").alias("content"))
+    p = xml.gpx_points(xml.documents(docs, "gpx", xml.GPX))
+    return p.select("activity_id", "seq", _r("lat", 9), _r("lon", 9), _r("elevation", 6))
+
+
+def tcx_courses(spark, d):
+    """Documents of courses, whose tracks lie outside of laps, with an odometer."""
+    c = F.col
+    p = pseudo(spark, d).withColumn("x", _fill(_TP, X.iso_time(c("t_fit")), c("lat"), c("lon"), c("elevation"), c("src_distance_m"), c("heart_rate"), c("cadence"), c("speed_sensor_ms"), c("power")))
+    g = p.groupBy("activity_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "x"))), lambda s: s["x"]), "").alias("x"))
+    docs = g.select(c("activity_id").alias("path"), F.encode(F.concat(F.lit('<TrainingCenterDatabase xmlns:ns3="e"><Courses><Course><Name>C</Name><Track>'), "x", F.lit("</Track></Course></Courses></TrainingCenterDatabase>")), "UTF-8").alias("content"))
+    p = xml.tcx_points(xml.documents(docs, "TrainingCenterDatabase", xml.TCX))
+    t = S.ride_totals(K.with_odometer(K.with_steps(p)))
+    return t.select("activity_id", "points", X.scaled_round(c("distance_m") / 1000, 2).alias("distanceKm"), "max_hr")
+
+
+def fit_session_message(spark, d):
+    """The SESSION message of written FIT files, read back."""
+    made = D.fit_files(pseudo(spark, d).withColumn("src_distance_m", F.lit(0.0))).select(F.col("activity_id").alias("path"), F.col("fit").alias("content"))
+    s = fit.sessions(fit.read_messages(made, ("session",)))
+    return s.select("activity_id", F.coalesce("total_distance_m", F.lit(0.0)).alias("total_distance_m"), "total_elapsed_s", "total_timer_s", F.col("sport").cast("int").alias("sport"), F.col("sub_sport").cast("int").alias("sub_sport"), F.coalesce("total_ascent_m", F.lit(0.0)).alias("total_ascent_m"))
+
+
 def fit_roundtrip(spark, d):
     made = D.fit_files(pseudo(spark, d)).select(F.col("activity_id").alias("path"), F.col("fit").alias("content"))
     p = fit.points(fit.read_messages(made))
@@ -247,7 +287,7 @@ def fit_roundtrip(spark, d):
 
 FUNCTIONS = (
     segment_distance, cumulative_distance, ride_distance, ride_duration, gps_speed, speed_backfill, moving_stats, sensor_summary, ascent_descent, tcx_odometer, null_island_filter, sensor_range_filter, fit_epoch_roundtrip,
-    semicircle_roundtrip, session_last_valid, indoor_flag, session_preference, privacy_trim_mask, privacy_trim_counts, trim_status, fit_session_stats, conversion_report, point_json, ride_summary, ride_json, gpx_scan, tcx_scan, fit_roundtrip,
+    semicircle_roundtrip, session_last_valid, indoor_flag, session_preference, privacy_trim_mask, privacy_trim_counts, trim_status, fit_session_stats, conversion_report, point_json, ride_summary, ride_json, gpx_scan, tcx_scan, fit_roundtrip, tcx_summary, tcx_conversion_report, gpx_tracks, tcx_courses, fit_session_message,
 )
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 
@@ -261,7 +301,7 @@ z2 AS (SELECT *, max(cum) OVER (PARTITION BY activity_id) AS total FROM z1), z A
 _M = (
     T_SQL
     + """, m AS (SELECT activity_id, seq, CASE WHEN (cadence + seq) % 2 <> 0 THEN cadence * 100.0::DOUBLE END AS total_distance_m, CASE WHEN (cadence + seq) % 3 <> 0 THEN cadence / 4.0::DOUBLE END AS max_speed_ms,
- CASE WHEN (cadence + seq) % 4 <> 0 THEN cadence % 70 END AS sub_sport, CASE WHEN (cadence + seq) % 2 <> 0 THEN (cadence * 7) % 400 END AS manufacturer FROM t WHERE seq < 9)"""
+ CASE WHEN (cadence + seq) % 4 <> 0 THEN cadence % 70 END AS sub_sport, CASE WHEN (cadence + seq) % 2 <> 0 THEN (cadence * 7) % 400 END AS manufacturer FROM t)"""
 )
 
 
@@ -302,4 +342,9 @@ SQL = {
     "gpx_scan": f"WITH {T_SQL} SELECT activity_id, seq, {_rs('lat', 9)} AS lat, {_rs('lon', 9)} AS lon, {_rs('elevation', 6)} AS elevation, t_fit, heart_rate, CASE WHEN cadence > 0 THEN cadence END AS cadence, CASE WHEN power > 0 THEN power END AS power, temperature FROM t",
     "tcx_scan": f"WITH {S_SQL}{_ODO} SELECT activity_id, seq, {_rs('lat', 9)} AS lat, {_rs('lon', 9)} AS lon, {_rs('elevation', 6)} AS elevation, t_fit, heart_rate, CASE WHEN cadence > 0 THEN cadence END AS cadence, CASE WHEN power > 0 THEN power END AS power, {_rs('cum_dist_m', 2)} AS cum_dist_m FROM q",
     "fit_roundtrip": f"WITH {T_SQL}, x AS (SELECT *, trunc(lat * (2147483648.0::DOUBLE / 180))::INT * (180.0::DOUBLE / 2147483648) AS la, trunc(lon * (2147483648.0::DOUBLE / 180))::INT * (180.0::DOUBLE / 2147483648) AS lo FROM t) SELECT activity_id, seq, {_rs('la', 9)} AS lat, {_rs('lo', 9)} AS lon, t_fit, heart_rate, CASE WHEN cadence > 0 THEN cadence END AS cadence, CASE WHEN power > 0 THEN power END AS power, temperature FROM x",
+    "tcx_summary": f"WITH {S_SQL}{_ODO}, a AS (SELECT activity_id, count(*) AS points, arg_max(cum_dist_m, seq) / 1000 AS k, {_UP} AS u, {_DUR} / 60.0::DOUBLE AS dm FROM q GROUP BY activity_id) SELECT activity_id, points, {_rs('k', 2)} AS \"distanceKm\", CASE WHEN k > 0 THEN {_rs('k', 2)} END AS \"sessionDistanceKm\", CASE WHEN u > 0 THEN {_rs('u', 6)} END AS \"sessionElevationGainM\", {_rs('dm', 2)} AS \"durationMin\" FROM a",
+    "tcx_conversion_report": f"WITH {S_SQL}{_ODO}, a AS (SELECT activity_id, count(*) AS points, arg_max(cum_dist_m, seq) / 1000 AS k, {_DUR} / 60.0::DOUBLE AS m, {_UP} AS u FROM q GROUP BY activity_id) SELECT activity_id, points, {_rs('k', 2)} AS km, {_rs('m', 2)} AS min, {_rs('u', 0)} AS ascent FROM a",
+    "gpx_tracks": f"WITH {T_SQL} SELECT activity_id, seq, {_rs('lat', 9)} AS lat, {_rs('lon', 9)} AS lon, {_rs('elevation', 6)} AS elevation FROM t",
+    "tcx_courses": f"WITH {S_SQL}{_ODO}, a AS (SELECT activity_id, count(*) AS points, arg_max(cum_dist_m, seq) / 1000 AS k, max(heart_rate) AS max_hr FROM q GROUP BY activity_id) SELECT activity_id, points, {_rs('k', 2)} AS \"distanceKm\", max_hr FROM a",
+    "fit_session_message": f"WITH {S_SQL}, a AS (SELECT activity_id, coalesce(sum(seg_m), 0) AS m, {_DUR}::DOUBLE AS du, {_UP} AS u FROM s GROUP BY activity_id) SELECT activity_id, {_rs('m', 2)} AS total_distance_m, du AS total_elapsed_s, du AS total_timer_s, 2 AS sport, 0 AS sub_sport, floor(least(u, 65534) + 0.5) AS total_ascent_m FROM a",
 }

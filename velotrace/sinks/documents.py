@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import iso_time, scaled_round
 from ..operators.summary import writer_stats
 from ..operators.tracks import with_backfill, with_odometer, with_steps
-from ..sources.fitcodec import encode_activity
+from ..sources.fitcodec import POINT_FIELDS, encode_columns
 
 
 def point_json(points: DataFrame) -> DataFrame:
@@ -41,30 +41,45 @@ def fit_files(points: DataFrame) -> DataFrame:
 
     def work(batches):
         for batch in batches:
+            lists = batch.column(1)
+            flat, cut = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            cols = {c: flat.field(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in POINT_FIELDS}
+            stats = batch.column(2).to_pylist()
             for k in range(batch.num_rows):
-                made = encode_activity(batch.column(1)[k].as_py(), batch.column(2)[k].as_py())
+                made = encode_columns({c: v[cut[k] : cut[k + 1]] for c, v in cols.items()}, stats[k])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([made], pa.binary())], ["activity_id", "fit"])
 
     return rows.mapInArrow(work, "activity_id string, fit binary")
 
 
 def write_files(df: DataFrame, folder: str, suffix: str) -> DataFrame:
-    """Each row's second column as a file of its own; returns activity_id and path. Files are put in place by a rename, so that a retried task does no harm."""
+    """Writes each row's second column as a file of its own, at once; returns activity_id and path. The folder is a path or URL that all executors reach
+    (any file system pyarrow knows). Files are put in place by a rename, so that a retried task does no harm; the list of them is a table in the folder."""
 
     def work(batches):
         import hashlib
         import os
+        import posixpath
+        import uuid
 
-        os.makedirs(folder, exist_ok=True)
+        from pyarrow import fs
+
+        if "://" in folder or folder.startswith("file:"):
+            system, root = fs.FileSystem.from_uri(folder)
+        else:
+            system, root = fs.LocalFileSystem(), os.path.abspath(folder)
+        system.create_dir(root, recursive=True)
         for batch in batches:
             names = []
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                stem = os.path.splitext(os.path.basename(key))[0] + "-" + hashlib.sha256(key.encode()).hexdigest()[:12]
-                path = os.path.join(folder, stem + suffix)
-                with open(f"{path}.{os.getpid()}.part", "wb") as f:
+                stem = posixpath.splitext(posixpath.basename(key))[0] + "-" + hashlib.sha256(key.encode()).hexdigest()[:12]
+                part = f"{root}/.{stem}.{uuid.uuid4().hex}.part"
+                with system.open_output_stream(part) as f:
                     f.write(value if isinstance(value, bytes) else value.encode())
-                os.replace(f"{path}.{os.getpid()}.part", path)
-                names.append(path)
+                system.move(part, f"{root}/{stem}{suffix}")
+                names.append(f"{root}/{stem}{suffix}")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string())], ["activity_id", "path"])
 
-    return df.mapInArrow(work, "activity_id string, path string")
+    written = f"{folder.rstrip('/')}/_written"
+    df.mapInArrow(work, "activity_id string, path string").write.mode("overwrite").parquet(written)
+    return df.sparkSession.read.schema("activity_id string, path string").parquet(written)

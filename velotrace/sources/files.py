@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import posixpath
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +16,7 @@ FORMATS = (".fit", ".gpx", ".tcx")
 
 
 def scan(spark: SparkSession, *paths: str) -> DataFrame:
-    """path, length, content of regular files. Spark's file scan leaves out files of zero bytes, so these have no row at all."""
+    """path, length, content of regular files. Spark's file scan leaves out files of zero bytes, so these come from empty()."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)).select("path", "length", "content")
 
 
@@ -31,3 +35,12 @@ def accepted(files: DataFrame, ext: str) -> DataFrame:
 
 def rejected(files: DataFrame) -> DataFrame:
     return files.select("path", reason().alias("reason")).filter(F.col("reason").isNotNull())
+
+
+def empty(spark: SparkSession, *paths: str) -> DataFrame:
+    """Error rows of files of zero bytes: those that the listing names and the scan leaves out."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
+    plain = lambda p: re.sub(r"^([a-z0-9]+:)/+(?=[^/])", r"\1/", unquote(p))
+    listed = spark.createDataFrame([(plain(p),) for p in found.inputFiles() if not posixpath.basename(p).startswith(("_", "."))], "path string")
+    scanned = found.select(F.regexp_replace("path", "^([a-z0-9]+:)/+(?=[^/])", "$1/").alias("path"))
+    return listed.join(scanned, "path", "left_anti").select("path", F.lit("file is empty").alias("reason"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import struct
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,26 +38,48 @@ def read_messages(files: DataFrame, kinds: tuple[str, ...] = ("record", "session
     wanted = {n for n, k in _KIND.items() if k in kinds}
     shape = to_arrow_schema(_parse_datatype_string(WIDE))
 
-    def rows(path: str, data: bytes):
-        made = []
-        try:
-            for seq, (number, values) in enumerate(C.messages(data, wanted)):
-                row = {"activity_id": path, "kind": _KIND[number], "seq": seq}
-                for num, (col, scale, offset) in _FIELDS[number].items():
-                    if num in values:
-                        v = values[num]
-                        row[col] = v / scale - offset if col in _FLOAT else v
-                made.append(row)
-        except (C.FitError, IndexError, ValueError) as e:
-            return [{"activity_id": path, "kind": "error", "seq": 0, "error": f"Failed to decode: {e}"}]
+    kinds_of = {f.name: f.type for f in shape}
+
+    def error(path: str, e: Exception) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{"activity_id": path, "kind": "error", "seq": 0, "error": f"Failed to decode: {e}"}], schema=shape)
+
+    def table(path: str, number: int, seq: int, n: int, found: list[tuple[int, dict]]) -> pa.RecordBatch:
+        """One batch of n messages of a kind, of runs that may have different fields."""
+        cols = {"activity_id": pa.repeat(pa.scalar(path), n), "kind": pa.repeat(pa.scalar(_KIND[number]), n), "seq": pa.array(np.arange(seq, seq + n))}
+        for num, (col, scale, offset) in _FIELDS[number].items():
+            if kinds_of[col] == pa.string():
+                cols[col] = pa.array([t or None for k, f in found for t in (f[num][0] if num in f and isinstance(f[num][0], list) else [None] * k)], pa.string())
+                continue
+            v = np.concatenate([f[num][0] if num in f and not isinstance(f[num][0], list) else np.zeros(k) for k, f in found])
+            ok = np.concatenate([f[num][1] if num in f and not isinstance(f[num][0], list) else np.zeros(k, bool) for k, f in found])
+            if col in _FLOAT:
+                cols[col] = pa.array(v / scale - offset, pa.float64(), mask=~ok)
+            else:
+                ok = ok & (np.abs(v.astype(float)) < 2 ** (kinds_of[col].bit_width - 1))  # what the column can't hold is missing
+                cols[col] = pa.array(np.where(ok, v, 0).astype(np.int64), mask=~ok).cast(kinds_of[col])
+        return pa.RecordBatch.from_arrays([cols.get(f.name, pa.nulls(n, f.type)) for f in shape], schema=shape)
+
+    def tables(path: str, data: bytes) -> list[pa.RecordBatch]:
+        made, seq, held, count, last = [], 0, [], 0, None
+        for number, n, fields in C.runs(data, wanted):
+            if held and (number != last or count > 20_000):
+                made.append(table(path, last, seq, count, held))
+                seq, held, count = seq + count, [], 0
+            held.append((n, fields))
+            count, last = count + n, number
+        if held:
+            made.append(table(path, last, seq, count, held))
         return made
 
     def work(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                made = rows(batch.column(0)[k].as_py(), batch.column(1)[k].as_py())
-                for lo in range(0, len(made), 20_000):
-                    yield pa.RecordBatch.from_pylist(made[lo : lo + 20_000], schema=shape)
+                path = batch.column(0)[k].as_py()
+                try:  # all of a file or nothing
+                    made = tables(path, batch.column(1)[k].as_py())
+                except (C.FitError, IndexError, ValueError, OverflowError, TypeError, struct.error, pa.ArrowInvalid) as e:
+                    made = [error(path, e)]
+                yield from made
 
     return files.select("path", "content").mapInArrow(work, WIDE)
 

@@ -1,9 +1,11 @@
-"""FIT binary protocol: messages from bytes, and bytes from messages. Pure Python; Spark hands it one file at a time."""
+"""FIT binary protocol: messages from bytes, and bytes from messages, by numpy over runs of messages of one shape. Spark hands it one file at a time."""
 
 from __future__ import annotations
 
 import struct
 
+import numpy as np
+
 #: base type: format, size, invalid value
 BASE = {
     0x00: ("B", 1, 0xFF), 0x01: ("b", 1, 0x7F), 0x02: ("B", 1, 0xFF), 0x83: ("h", 2, 0x7FFF), 0x84: ("H", 2, 0xFFFF), 0x85: ("i", 4, 0x7FFFFFFF), 0x86: ("I", 4, 0xFFFFFFFF),
@@ -27,8 +29,30 @@ def _byte_table() -> list[int]:
 _CRC = _byte_table()
 
 
+_TABLE = np.array(_CRC, np.uint16)
+
+
 def crc16(data: bytes, crc: int = 0) -> int:
-    for b in data:
+    """Long data are cut into blocks of one length, whose checksums are found side by side and then joined: the checksum is linear."""
+    n = len(data)
+    length = int(n**0.5) if n >= 4096 else 0
+    done = 0
+    if length:
+        m = n // length
+        done = m * length
+        columns = np.frombuffer(data, np.uint8, done).reshape(m, length).T.astype(np.uint16)
+        own, bits = np.zeros(m, np.uint16), np.uint16(1) << np.arange(16, dtype=np.uint16)
+        for column in columns:
+            own = own >> 8 ^ _TABLE[(own ^ column) & 0xFF]
+            bits = bits >> 8 ^ _TABLE[bits & 0xFF]  # what a state turns into after as many zero bytes
+        bits = bits.tolist()
+        for x in own.tolist():
+            after = 0
+            for k in range(16):
+                if crc >> k & 1:
+                    after ^= bits[k]
+            crc = after ^ x
+    for b in data[done:]:
         crc = crc >> 8 ^ _CRC[(crc ^ b) & 0xFF]
     return crc
 
@@ -39,6 +63,13 @@ class FitError(ValueError):
 
 def messages(data: bytes, wanted: set[int] | None = None, check: bool = True):
     """(global number, {field: raw value}) in file order; invalid values are left out; files may follow each other."""
+    for number, n, fields in runs(data, wanted, check):
+        for i in range(n):
+            yield number, {num: v[i] if isinstance(v, list) else v[i].item() for num, (v, valid) in fields.items() if valid[i]}
+
+
+def runs(data: bytes, wanted: set[int] | None = None, check: bool = True):
+    """(global number, how many, {field: (raw values, which are valid)}) of messages in file order, those of one shape that follow each other at once."""
     at = 0
     if not data:
         raise FitError("empty file")
@@ -59,61 +90,70 @@ def messages(data: bytes, wanted: set[int] | None = None, check: bool = True):
 def _body(data: bytes, at: int, end: int, wanted: set[int] | None):
     known: dict[int, tuple] = {}
     last_time = 0
+    whole = np.frombuffer(data, np.uint8)
     while at < end:
         h = data[at]
-        at += 1
-        if h & 0x80:
-            local, offset = h >> 5 & 3, h & 31
-        elif h & 0x40:
+        if h & 0xC0 == 0x40:
+            at += 1
+            if at + 5 > end:
+                raise FitError("a definition is cut off")
             order = ">" if data[at + 1] else "<"
             number = struct.unpack_from(order + "H", data, at + 2)[0]
             n = data[at + 4]
             at += 5
             fields, place = [], 0
             for _ in range(n):
+                if at + 3 > end:
+                    raise FitError("a definition is cut off")
                 num, size, base = data[at : at + 3]
                 fields.append((num, size, base, place))
                 place += size
                 at += 3
             if h & 0x20:
+                if at >= end or at + 1 + 3 * data[at] > end:
+                    raise FitError("a definition is cut off")
                 for _ in range(data[at]):
                     place += data[at + 2]
                     at += 3
                 at += 1
             known[h & 15] = (number, order, fields, place)
             continue
-        else:
-            local, offset = h & 15, -1
+        local, offset = (h >> 5 & 3, h & 31) if h & 0x80 else (h & 15, -1)
         if local not in known:
             raise FitError("data without a definition")
         number, order, fields, total = known[local]
-        if at + total > end:
+        if at + 1 + total > end:
             raise FitError("a message is cut off")
-        values: dict[int, object] = {}
+        heads = whole[at : end - total : total + 1]
+        other = np.flatnonzero(heads[:64] != h)
+        if not len(other):
+            other = np.flatnonzero(heads != h)
+        n = int(other[0]) if len(other) else len(heads)
         read = wanted is None or number in wanted
+        values: dict[int, tuple] = {}
         for num, size, base, place in fields:
             if not read and num != 253:
                 continue
-            lo = at + place
+            lo = at + 1 + place
             if base == STRING:
-                text = data[lo : lo + size].split(b"\0", 1)[0].decode("utf-8", "replace")
-                if text:
-                    values[num] = text
+                texts = [data[k : k + size].split(b"\0", 1)[0].decode("utf-8", "replace") for k in range(lo, lo + n * (total + 1), total + 1)]
+                values[num] = (texts, np.array([bool(x) for x in texts], bool))
                 continue
             fmt, one, invalid = BASE.get(base, ("B", 1, 0xFF))
             if size < one:
                 continue
-            v = struct.unpack_from(order + fmt, data, lo)[0]
-            if v != invalid and v == v:
-                values[num] = v
+            v = np.ndarray((n,), np.dtype(fmt).newbyteorder(order), data, lo, (total + 1,))
+            values[num] = (v, v == v if invalid is None else v != invalid)
         if offset >= 0:
             last_time += (offset - (last_time & 31)) & 31
-            values[253] = last_time
-        elif 253 in values:
-            last_time = values[253]
-        at += total
+            values[253] = (np.full(n, last_time), np.ones(n, bool))
+        elif 253 in values and not isinstance(values[253][0], list):
+            v, valid = values[253]
+            if valid.any():
+                last_time = int(v[np.flatnonzero(valid)[-1]])
+        at += n * (total + 1)
         if read:
-            yield number, values
+            yield number, n, values
 
 
 class Writer:
@@ -137,6 +177,26 @@ class Writer:
         for _, b, v in fields:
             self.out += v.encode() + b"\0" if b == STRING else struct.pack("<" + BASE[b][0], v)
 
+    def add_block(self, number: int, fields: list[tuple[int, int, np.ndarray, np.ndarray]]) -> None:
+        """Messages of one shape at once. fields: (number, base type, values, which there are); fields without any are left out, and missing values are written as invalid."""
+        fields = [(n, b, v, ok) for n, b, v, ok in fields if ok.any()]
+        rows = len(fields[0][2]) if fields else 0
+        if not rows:
+            return
+        shape = (number, tuple((n, b, BASE[b][1]) for n, b, *_ in fields))
+        if shape not in self.known:
+            local = len(self.known) % 16
+            self.known = {k: v for k, v in self.known.items() if v != local}
+            self.known[shape] = local
+            self.out += bytes([0x40 | local, 0, 0]) + struct.pack("<HB", number, len(fields))
+            for n, b, size in shape[1]:
+                self.out += bytes([n, size, b])
+        block = np.zeros(rows, [("head", "u1"), *((f"f{k}", np.dtype(BASE[b][0]).newbyteorder("<")) for k, (_, b, *_) in enumerate(fields))])
+        block["head"] = self.known[shape]
+        for k, (_, b, v, ok) in enumerate(fields):
+            block[f"f{k}"] = np.where(ok, v, BASE[b][2])
+        self.out += block.tobytes()
+
     def close(self) -> bytes:
         head = struct.pack("<BBHI4s", 14, 0x20, 2132, len(self.out), b".FIT")
         head += struct.pack("<H", crc16(head))
@@ -148,31 +208,47 @@ def _fit(v, lo: int, hi: int):
     return None if v is None or not lo <= v <= hi else int(v)
 
 
+POINT_FIELDS = ("t_fit", "lat", "lon", "elevation", "heart_rate", "cadence", "cum_dist_m", "speed_sensor_ms", "power", "temperature")
+
+
 def encode_activity(points: list[dict], stats: dict) -> bytes:
-    """An activity file: file id, timer start, records, timer stop, one lap, one session, activity."""
-    if not points:
+    """encode_columns of points as dicts."""
+    column = lambda c: np.array([np.nan if p.get(c) is None else p[c] for p in points], float)
+    return encode_columns({c: column(c) for c in POINT_FIELDS}, stats)
+
+
+def encode_columns(points: dict[str, np.ndarray], stats: dict) -> bytes:
+    """An activity file: file id, timer start, records, timer stop, one lap, one session, activity. points has a column of floats for each of POINT_FIELDS, NaN where a value is missing; what a field can't hold is missing, too."""
+    if not len(points["t_fit"]):
         raise FitError("no points to write")
     w = Writer()
     start, end = int(stats["start_fit"] or 0), int(stats["end_fit"] or 0)
     w.add(FILE_ID, [(0, ENUM, 4), (1, UINT16, 255), (2, UINT16, 0), (4, UINT32, start)])
     w.add(EVENT, [(253, UINT32, start), (0, ENUM, 0), (1, ENUM, 0)])
     over = lambda v: v if v is not None and v > 0 else None
-    for p in points:
-        scaled = lambda c, by: None if over(p.get(c)) is None else _fit(round(p[c] * by), 0, 2**32 - 2)  # noqa: E731, B023
-        w.add(RECORD, [
-            (253, UINT32, over(p["t_fit"])), (0, SINT32, None if p["lat"] is None else int(p["lat"] * (2147483648.0 / 180.0))), (1, SINT32, None if p["lon"] is None else int(p["lon"] * (2147483648.0 / 180.0))),
-            (2, UINT16, None if p["elevation"] is None else _fit(round((p["elevation"] + 500) * 5), 0, 65534)), (3, UINT8, over(p["heart_rate"])), (4, UINT8, over(p["cadence"])), (5, UINT32, scaled("cum_dist_m", 100)),
-            (6, UINT16, _fit(scaled("speed_sensor_ms", 1000), 0, 65534)), (7, UINT16, over(p["power"])), (13, SINT8, p["temperature"]),
-        ])
+
+    def field(number: int, base: int, x: np.ndarray, lo: int, hi: int) -> tuple:
+        with np.errstate(invalid="ignore"):
+            ok = (x >= lo) & (x <= hi)
+        return number, base, np.where(ok, x, 0).astype(np.int64), ok
+
+    p, semi = points, 2147483648.0 / 180.0
+    lat, lon = field(0, SINT32, np.trunc(p["lat"] * semi), -(2**30), 2**30), field(1, SINT32, np.trunc(p["lon"] * semi), -(2**31), 2**31 - 2)
+    both = lat[3] & lon[3]
+    w.add_block(RECORD, [
+        field(253, UINT32, p["t_fit"], 1, 2**32 - 2), (*lat[:3], both), (*lon[:3], both), field(2, UINT16, np.rint((p["elevation"] + 500) * 5), 0, 65534), field(3, UINT8, p["heart_rate"], 1, 254), field(4, UINT8, p["cadence"], 1, 254),
+        field(5, UINT32, np.rint(np.where(p["cum_dist_m"] > 0, p["cum_dist_m"], np.nan) * 100), 0, 2**32 - 2), field(6, UINT16, np.rint(np.where(p["speed_sensor_ms"] > 0, p["speed_sensor_ms"], np.nan) * 1000), 0, 65534),
+        field(7, UINT16, p["power"], 1, 65534), field(13, SINT8, p["temperature"], -128, 126),
+    ])
     w.add(EVENT, [(253, UINT32, end), (0, ENUM, 0), (1, ENUM, 4)])
-    ms, cm = int(round(stats["elapsed_s"] * 1000)), over(stats["distance_m"]) and int(round(stats["distance_m"] * 100))
+    ms, cm = min(int(round(stats["elapsed_s"] * 1000)), 2**32 - 2), over(stats["distance_m"]) and min(int(round(stats["distance_m"] * 100)), 2**32 - 2)
     up = lambda c: None if over(stats[c]) is None else _fit(round(stats[c]), 0, 65534)
     speed = lambda c: None if over(stats[c]) is None else _fit(round(stats[c] * 1000), 0, 65534)
     common = [(253, UINT32, end), (2, UINT32, start), (7, UINT32, ms), (8, UINT32, ms), (9, UINT32, cm or 0)]
     w.add(LAP, [*common, (13, UINT16, speed("avg_speed_ms")), (14, UINT16, speed("max_speed_ms")), (21, UINT16, up("ascent_m")), (22, UINT16, up("descent_m"))])
     w.add(SESSION, [
-        *common, (5, ENUM, 2), (6, ENUM, 0), (14, UINT16, speed("avg_speed_ms")), (15, UINT16, speed("max_speed_ms")), (16, UINT8, stats["avg_heart_rate"]), (17, UINT8, stats["max_heart_rate"]),
-        (18, UINT8, stats["avg_cadence"]), (19, UINT8, stats["max_cadence"]), (20, UINT16, stats["avg_power"]), (21, UINT16, stats["max_power"]), (22, UINT16, up("ascent_m")), (23, UINT16, up("descent_m")), (25, UINT16, 0), (26, UINT16, 1),
+        *common, (5, ENUM, 2), (6, ENUM, 0), (14, UINT16, speed("avg_speed_ms")), (15, UINT16, speed("max_speed_ms")), (16, UINT8, _fit(stats["avg_heart_rate"], 0, 254)), (17, UINT8, _fit(stats["max_heart_rate"], 0, 254)),
+        (18, UINT8, _fit(stats["avg_cadence"], 0, 254)), (19, UINT8, _fit(stats["max_cadence"], 0, 254)), (20, UINT16, _fit(stats["avg_power"], 0, 65534)), (21, UINT16, _fit(stats["max_power"], 0, 65534)), (22, UINT16, up("ascent_m")), (23, UINT16, up("descent_m")), (25, UINT16, 0), (26, UINT16, 1),
     ])
     w.add(ACTIVITY, [(253, UINT32, end), (0, UINT32, ms), (1, UINT16, 1), (2, ENUM, 0), (3, ENUM, 26), (4, ENUM, 1), (5, UINT32, end)])
     return w.close()

@@ -42,7 +42,10 @@ def first(c: Column, *names: str) -> Column:
 
 def documents(files: DataFrame, root: str, schema: T.StructType) -> DataFrame:
     """activity_id, root_ok and doc of each file."""
-    text = F.decode("content", "UTF-8")
+    head = F.lower(F.decode(F.expr("substring(content, 1, 200)"), "ISO-8859-1"))
+    latin = head.rlike(r"encoding\s*=\s*[\"'](?:iso-8859-1|iso-8859-15|latin-?1|windows-1252|us-ascii)")
+    # bytes that aren't valid in UTF-8 are read as Latin-1 or else replaced, so that one file can't fail the others
+    text = F.when(latin, F.decode("content", "ISO-8859-1")).otherwise(F.coalesce(F.expr("try_validate_utf8(cast(content AS string))"), F.decode("content", "ISO-8859-1")))
     if root == "gpx":  # older files write <Name>
         text = F.regexp_replace(text, r"<(/?)Name>", "<$1name>")
     d = files.select(F.col("path").alias("activity_id"), text.alias("xml"))
@@ -70,7 +73,7 @@ def gpx_points(docs: DataFrame) -> DataFrame:
     p = p.select(
         "activity_id", "k", "s", "i", F.coalesce(number(F.col("p._lat")), F.lit(0.0)).alias("lat"), F.coalesce(number(F.col("p._lon")), F.lit(0.0)).alias("lon"), number(first(F.col("p"), "ele")).alias("elevation"),
         F.coalesce(t, F.lit(0)).alias("t_fit"), in_range(integer(leaf("hr")), 255).cast("short").alias("heart_rate"), in_range(integer(leaf("cad")), 255).cast("short").alias("cadence"),
-        in_range(integer(F.coalesce(first(x, "power", "gpxtpx:power"), first(e, "gpxtpx:power", "power"))), 65535).alias("power"), integer(leaf("atemp")).cast("byte").alias("temperature"),
+        in_range(integer(F.coalesce(first(x, "power", "gpxtpx:power"), first(e, "gpxtpx:power", "power"))), 65535).alias("power"), integer(leaf("atemp")).try_cast("byte").alias("temperature"),
         F.coalesce(number(first(F.col("p"), "speed")), number(leaf("speed"))).alias("speed_sensor_ms"), F.lit(None).cast("double").alias("src_distance_m"),
     ).filter("NOT (lat = 0 AND lon = 0)")
     return _finish(p, "k", "s", "i")
