@@ -67,7 +67,8 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: fl
     cells = keyed(base).filter("size > 0").groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     ahead = Window.partitionBy("missing", "src").orderBy("cell", "part").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(*key, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
-    rows = keyed(sized if carry else base).withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("draw", "id", "size")))
+    tie = [F.xxhash64("row")] if carry else []  # rows of one id and size: which text is taken doesn't change by run
+    rows = keyed(sized if carry else base).withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("draw", "id", "size", *tie)))
     rows = rows.join(cells, key, "left")
     few = src.count() <= BROADCAST_SOURCES
     rows = rows.join(F.broadcast(src) if few else src, ["missing", "src"])
