@@ -347,4 +347,5 @@ SQL = {
     "gpx_tracks": f"WITH {T_SQL} SELECT activity_id, seq, {_rs('lat', 9)} AS lat, {_rs('lon', 9)} AS lon, {_rs('elevation', 6)} AS elevation FROM t",
     "tcx_courses": f"WITH {S_SQL}{_ODO}, a AS (SELECT activity_id, count(*) AS points, arg_max(cum_dist_m, seq) / 1000 AS k, max(heart_rate) AS max_hr FROM q GROUP BY activity_id) SELECT activity_id, points, {_rs('k', 2)} AS \"distanceKm\", max_hr FROM a",
     "fit_session_message": f"WITH {S_SQL}, a AS (SELECT activity_id, coalesce(sum(seg_m), 0) AS m, {_DUR}::DOUBLE AS du, {_UP} AS u FROM s GROUP BY activity_id) SELECT activity_id, {_rs('m', 2)} AS total_distance_m, du AS total_elapsed_s, du AS total_timer_s, 2 AS sport, 0 AS sub_sport, floor(least(u, 65534) + 0.5) AS total_ascent_m FROM a",
+    "point_json": f"WITH {S_SQL}, p AS (SELECT *, CASE WHEN seq = 0 THEN coalesce(speed_kmh, lead(speed_kmh) OVER w) ELSE speed_kmh END AS shown FROM s {_W}), r AS (SELECT *, {_rs('lat', 6)} AS la, {_rs('lon', 6)} AS lo, {_rs('coalesce(elevation, 0.0)', 1)} AS el FROM p) SELECT activity_id, seq, '{{\"lat\":' || la || ',\"lon\":' || lo || ',\"elevation\":' || el || coalesce(',\"speed\":' || shown, '') || coalesce(',\"heartRate\":' || heart_rate, '') || coalesce(',\"power\":' || power, '') || coalesce(',\"cadence\":' || cadence, '') || coalesce(',\"temperature\":' || temperature, '') || ',\"timestamp\":\"' || {_ISO.format('t_fit')} || '\"}}' AS json FROM r",
 }
