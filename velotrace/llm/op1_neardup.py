@@ -2,13 +2,13 @@
 
 1. Each text becomes a 128-bit SimHash, minimum hashes and a digest of its set of five-word shingles. Equal sets are one node.
 2. Nodes are sharded by their minimum hashes, in TABLES tables: texts of similarity 0.8 share a shard in each with a probability of 0.8, so all but
-   1 in 15,000 pairs share one. Nodes that share no minimum hash with any other need no search. Large shards are split into blocks; the queries of each
-   block are sent to all blocks of the shard.
+   1 in 15,000 pairs share one. Nodes that share no minimum hash with any other need no search. Large shards are split into classes of size and these
+   into blocks: the queries of each block are sent to all blocks of their class and of the next, as sets of similarity 0.8 are never further apart.
 3. In a shard, every node queries the graph with a beam that doubles while all it holds is within the radius. What the graph returns are the candidates,
    there is no other way to become one. Pairs that meet in several tables are searched as often, in other graphs. The nodes whose id is divisible by AUDIT
    are also compared with all points of their shard: that audits the recall. Where it is below RECALL, the search starts anew with a wider beam.
-4. Candidates that share the minimum hash, and whose sizes allow it, are verified on whole shingle sets; texts travel once per group of candidates,
-   not per pair. A node with over NEAREST candidates sends its nearest first; once the classes of the first pass are known, the rest between
+4. Candidates that share the minimum hash, and whose sizes and parities allow it, are verified on whole shingle sets. Parities tell which of ODD bins hold an
+   odd number of shingles; two sets differ in at least as many shingles as in parities, so no link is lost. Texts travel once per group of candidates, not per pair. A node with over NEAREST candidates sends its nearest first; once the classes of the first pass are known, the rest between
    different classes follow, all of them.
 5. Verified links are joined to classes of nodes, and rows find their node's class.
 
@@ -20,6 +20,7 @@ null class; an empty table gives none; extra columns are ignored. graph_recall i
 from __future__ import annotations
 
 import logging
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ log = logging.getLogger(__name__)
 SHINGLE, SIMILAR, TABLES, RADIUS = 5, 0.8, 6, 40
 CAP, NEAREST, GROUP = 1024, 32, 400
 BEAM, AUDIT, RECALL = 16, 100, 0.9
+ODD = 1024
 _MIN, _BITS = constants(21, 8), constants(22, 4)
 
 
@@ -74,13 +76,15 @@ def _fingerprints(batches):
                 a, b = np.add.reduceat(mix(x ^ _BITS[2]), begin), np.bitwise_xor.reduceat(mix(x ^ _BITS[3]), begin)
                 low = np.stack([np.minimum.reduceat(x * m, begin) for m in _MIN[:TABLES]], 1)
             size = np.diff(np.append(begin, len(x)))
+            odd = np.zeros(len(ids) * (ODD // 64), U)
+            np.bitwise_xor.at(odd, (np.repeat(np.arange(len(ids)), size) * ODD + (x >> U(54)).astype(np.int64)) >> 6, U(1) << (x >> U(54) & U(63)))
             half = []
             for k in range(2):
                 ones = np.concatenate([np.add.reduceat(np.unpackbits(mix(x[lo:hi] ^ _BITS[k]).view(np.uint8).reshape(-1, 8), axis=1), begin[i:j] - lo, axis=0, dtype=np.int32) for i, j, lo, hi in _slices(begin, len(x))])
                 half.append(np.packbits(2 * ones > size[:, None], axis=1).view(U).ravel())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row + ids)), pa.array(size), *(pa.array(v.view(np.int64)) for v in (a, b, *half)), pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * TABLES), pa.array(low.ravel().view(np.int64)))],
-                ["id", "n", "set_a", "set_b", "sim_a", "sim_b", "low"],
+                [batch.column(0).take(pa.array(row + ids)), pa.array(size), *(pa.array(v.view(np.int64)) for v in (a, b, *half)), pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * TABLES), pa.array(low.ravel().view(np.int64))), pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.arange(len(ids) + 1, dtype=np.int32) * np.int32(ODD // 8)), pa.py_buffer(odd)])],
+                ["id", "n", "set_a", "set_b", "sim_a", "sim_b", "low", "odd"],
             )
 
 
@@ -93,6 +97,15 @@ def _slices(begin: np.ndarray, total: int, rows: int = 1 << 15):
         i = j
 
 
+def _may_be_similar(odd: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """Whether the parities of the sets a and b allow a similarity of SIMILAR: false only where the sets differ in too many shingles."""
+    out = np.zeros(len(a), bool)
+    for lo in range(0, len(a), block):
+        i, j = a[lo : lo + block], b[lo : lo + block]
+        out[lo : lo + block] = np.bitwise_count(odd[i] ^ odd[j]).sum(1, dtype=np.int64) <= (n[i] + n[j]) * (1 - SIMILAR) / (1 + SIMILAR) + 1e-6
+    return out
+
+
 def _search(limit: int | None, beam: int = BEAM):
     def work(t: pa.Table) -> pa.Table:
         get = lambda c: t.column(c).to_numpy()
@@ -101,7 +114,7 @@ def _search(limit: int | None, beam: int = BEAM):
         graph, query = np.flatnonzero(role != 1), np.flatnonzero((role != 0) & get("ask"))
         order = np.argsort(ids[graph], kind="stable")
         graph = graph[order]
-        qi, pi, dist = SmallWorld(sim[graph]).within(sim[query], RADIUS, beam)
+        qi, pi, dist = SmallWorld(sim[graph]).within(sim[query], RADIUS, beam) if len(query) else (np.zeros(0, int),) * 3
         # the audit: queries of ids divisible by AUDIT against all points
         asked = np.flatnonzero(ids[query] % AUDIT == 0)
         eq, ep, _ = exact_within(sim[graph], sim[query[asked]], RADIUS)
@@ -111,6 +124,9 @@ def _search(limit: int | None, beam: int = BEAM):
         a, b = query[qi], graph[pi]
         fit = (low[a] == low[b]) & (ids[a] != ids[b]) & (cls[a] != cls[b]) & (np.minimum(n[a], n[b]) >= SIMILAR * np.maximum(n[a], n[b]) - 1e-9)
         a, b, dist = a[fit], b[fit], dist[fit]
+        if "odd" in t.column_names:
+            fit = _may_be_similar(np.frombuffer(b"".join(t.column("odd").to_pylist()), U).reshape(-1, ODD // 64), n, a, b)
+            a, b, dist = a[fit], b[fit], dist[fit]
         more = np.zeros(len(a), bool)
         if limit is not None and len(a):
             order = np.lexsort((ids[b], dist, a))
@@ -130,8 +146,9 @@ def _search(limit: int | None, beam: int = BEAM):
 
 
 def candidates(nodes: DataFrame, classes: DataFrame | None, limit: int | None, ask: DataFrame | None = None, beam: int = BEAM) -> DataFrame:
-    """Only nodes in ask query, all where it is None. Rows a, b, more, and in rows with a = b = 0 the audit of a shard: audited pairs within the radius, and how many of them the graph found."""
-    rows = nodes.select("id", "n", "sim_a", "sim_b", F.posexplode("low").alias("t", "low"))
+    """Only nodes in ask query, all where it is None. Rows a, b, more, and in rows with a = b = 0 the audit of a shard: audited pairs within the radius, and how many of them the graph found.
+    Reads a work table, to be released by the name of what is returned."""
+    rows = nodes.select("id", "n", "sim_a", "sim_b", "odd", F.posexplode("low").alias("t", "low"))
     if classes is None:
         rows = rows.withColumn("cls", F.col("id"))
     else:
@@ -144,16 +161,31 @@ def candidates(nodes: DataFrame, classes: DataFrame | None, limit: int | None, a
     total = shared.agg(F.sum("times")).first()[0] or 0
     shards = max(1, -(-total // (TABLES * CAP)))
     shared = shared.withColumn("shard", F.pmod(F.xxhash64("low"), F.lit(shards)).cast("int"))
-    sizes = shared.groupBy("t", "shard").agg((F.floor((F.sum("times") - 1) / F.lit(2 * CAP)) + 1).cast("int").alias("blocks"))
-    shared = shared.join(sizes, ["t", "shard"]).select("t", "low", "times", "shard", "blocks")
-    rows = split_join(rows, shared, ["t", "low"], "times", "id", total).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    graph = rows.select("*", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("i")).select("*", F.col("block").alias("j"), F.when(F.col("i") == F.col("block"), 2).otherwise(0).alias("role"))
-    query = rows.filter("block > 0").select("*", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("j")).withColumn("role", F.lit(1))
-    cols = ["t", "shard", "i", "j", "id", "n", "sim_a", "sim_b", "low", "cls", "role", "ask"]
-    every = graph.select(*cols).unionByName(query.select(*cols))
+    sizes = shared.groupBy("t", "shard").agg((F.sum("times") > 2 * CAP).alias("large"))
+    shared = shared.join(sizes, ["t", "shard"]).select("t", "low", "times", "shard", "large")
+    rows = split_join(rows, shared, ["t", "low"], "times", "id", total)
+    # sets of similarity SIMILAR lie in the same class or in neighbours, whatever the logarithm's last bit
+    rows = work_table(rows.withColumn("g", F.when(F.col("large"), F.floor(F.log("n") / F.lit(-1.001 * math.log(SIMILAR)))).otherwise(0).cast("int")), "shard-rows")
+    classes_of = rows.filter("large").groupBy("t", "shard", "g").agg((F.floor((F.count(F.lit(1)) - 1) / F.lit(2 * CAP)) + 1).cast("int").alias("blocks"))
+    classes_of = classes_of.groupBy("t", "shard").agg(F.map_from_entries(F.collect_list(F.struct("g", "blocks"))).alias("blocks"))
+    cells = rows.join(classes_of, ["t", "shard"], "left")
+    blocks = lambda step: F.coalesce(F.try_element_at("blocks", F.col("g") + step), F.lit(0 if step else 1))
+    cells = cells.withColumn("own", blocks(0)).withColumn("below", blocks(-1)).withColumn("above", blocks(1)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("own")).cast("int"))
+    # a cell is block j of the graph class and block i of the query class; role 0: graph, 1: query, 2: both
+    cell = lambda first, last, what: f"CASE WHEN {first} <= {last} THEN transform(sequence({first}, {last}), k -> named_struct({what})) ELSE array() END"
+    ways = [
+        cell("block", "own - 1", "'gg', g, 'gq', g, 'i', k, 'j', block, 'role', if(k = block, 2, 0)"),
+        cell("0", "block - 1", "'gg', g, 'gq', g, 'i', block, 'j', k, 'role', 1"),
+        cell("0", "below - 1", "'gg', g, 'gq', g - 1, 'i', k, 'j', block, 'role', 0"),
+        cell("0", "above - 1", "'gg', g + 1, 'gq', g, 'i', block, 'j', k, 'role', 1"),
+    ]
+    key = ["t", "shard", "gg", "gq", "i", "j"]
+    every = cells.withColumn("cell", F.explode(F.expr(f"concat({', '.join(ways)})"))).select("t", "shard", "cell.*", "id", "n", "sim_a", "sim_b", "odd", "low", "cls", "ask")
     # a number of its own: small in bytes, long in work, so not to be coalesced
-    every = every.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "t", "shard", "i", "j")
-    return every.groupBy("t", "shard", "i", "j").applyInArrow(_search(limit, beam), "a long, b long, more boolean, truth long, found long")
+    every = every.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+    out = every.groupBy(*key).applyInArrow(_search(limit, beam), "a long, b long, more boolean, truth long, found long")
+    out.work_path = rows.work_path
+    return out
 
 
 def _similar(u: np.ndarray, v: np.ndarray) -> bool:
@@ -209,15 +241,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     kept = keep_columns(docs, id_col, text_col)
     text = kept.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    prints = work_table(text.mapInArrow(_fingerprints, "id long, n long, set_a long, set_b long, sim_a long, sim_b long, low array<bigint>"), "fingerprints")
+    prints = work_table(text.mapInArrow(_fingerprints, "id long, n long, set_a long, set_b long, sim_a long, sim_b long, low array<bigint>, odd binary"), "fingerprints")
     key = ["set_a", "set_b", "n"]
-    sets = prints.groupBy(*key).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sim_a").alias("sim_a"), F.first("sim_b").alias("sim_b"), F.first("low").alias("low"))
+    sets = prints.groupBy(*key).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sim_a").alias("sim_a"), F.first("sim_b").alias("sim_b"), F.first("low").alias("low"), F.first("odd").alias("odd"))
     sets = work_table(sets, "shingle-sets")
     total = prints.count()
-    nodes = sets.select(F.col("rep").alias("id"), "n", "sim_a", "sim_b", "low")
+    nodes = sets.select(F.col("rep").alias("id"), "n", "sim_a", "sim_b", "low", "odd")
     beam = BEAM
     while True:
-        first = work_table(candidates(nodes, None, NEAREST, beam=beam), "candidates")
+        found = candidates(nodes, None, NEAREST, beam=beam)
+        first = work_table(found, "candidates")
+        release(found)
         seen = first.filter("a = 0 AND b = 0").agg(F.coalesce(F.sum("truth"), F.lit(0)).alias("truth"), F.coalesce(F.sum("found"), F.lit(0)).alias("found")).first()
         log.warning("graph recall with beams from %d: %d of %d audited pairs within the radius", beam, seen.found, seen.truth)
         if seen.found >= RECALL * seen.truth or beam >= 2 * CAP:
@@ -230,7 +264,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ask = first.filter("more").select(F.explode(F.array("a", "b")).alias("id")).distinct()
     if ask.limit(1).count():
         classes = components(links)
-        rest = work_table(candidates(nodes, classes, None, ask, beam).filter("a != b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+        found = candidates(nodes, classes, None, ask, beam)
+        rest = work_table(found.filter("a != b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+        release(found)
         more = verified(text, rest)
         all_links = links.unionByName(more)
         release(classes)
