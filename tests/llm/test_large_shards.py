@@ -71,3 +71,20 @@ def test_classes_of_size_lose_no_link(spark, monkeypatch):
     out, audit = op1_neardup.near_duplicates(docs)
     assert {r.doc_id: r.class_id for r in out.collect()} == {k + 1: c + 1 for k, c in enumerate(least)}
     assert len(set(least)) < len(texts) / 2
+
+
+def test_near_dedup_stage_compares_few_pairs(spark, monkeypatch):
+    import corpus_pipeline
+
+    texts = template_texts(120)
+    sets, least = shingle_sets(texts), list(range(len(texts)))
+    links = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if similar(sets[a], sets[b])]
+    for a, b in links:
+        x, y = sorted((least[a], least[b]))
+        least = [x if c == y else c for c in least]
+    compared, real = [], op1_neardup.verified
+    monkeypatch.setattr(op1_neardup, "verified", lambda text, pairs: compared.append(pairs.count()) or real(text, pairs))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert {r.doc_id for r in kept.collect()} == set(least)
+    assert sum(compared) < 2 * len(links)
