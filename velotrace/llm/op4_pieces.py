@@ -3,7 +3,8 @@
 Every prefix of a text has one BPE encoding, so it has one last token. The table holds that token for each prefix: among the pieces that an
 automaton finds to end there, it is the one whose pair with the last token of the shorter prefix encodes to just that pair. The ids are then read
 off from the end backwards. Pieces never span a change from other text to the space mark, and characters outside the vocabulary never merge,
-so the table is filled unit by unit, and units seen before come from a bounded cache.
+so the table is filled unit by unit, and units seen before come from a bounded cache. Units seen once are kept apart, so that they, however many, don't
+displace those seen again.
 
 Defined results: null text is the empty text; an empty text has the end id alone; repeated rows give equal rows; an empty table gives none; extra
 columns are ignored. Texts of any length are encoded whole; the table takes memory in proportion to the longest run without a space.
@@ -91,8 +92,11 @@ class PrefixTable:
         self.automaton.make_automaton()
         breaks = "" if "\n" in self.chars else "\n"
         self.unit = re.compile(f"{MARK}*[^{MARK}{breaks}]+|{MARK}+" + (f"|{breaks}" if breaks else ""))
+        self.text = [str(i) for i in range(len(self.pieces))]
         self.new: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
+        self.once: dict[str, tuple] = {}
+        self.once_old: dict[str, tuple] = {}
 
     def merge(self, text: str) -> list[int]:
         """Plain merging, best score first and leftmost on ties: decides pairs, and runs of the space mark."""
@@ -198,18 +202,22 @@ class PrefixTable:
     def lookup(self, unit: str) -> tuple:
         hit = self.old.get(unit)
         if hit is None:
-            ids = self.unit_ids(unit)
-            hit = (tuple(ids), " ".join(map(str, ids)))
-        if len(unit) <= 64:
-            if len(self.new) >= self.cache_size:
-                self.old, self.new = self.new, {}
-            self.new[unit] = hit
+            hit = self.once.pop(unit, None) or self.once_old.pop(unit, None)
+            if hit is None:
+                hit = tuple(self.unit_ids(unit))
+                if len(unit) <= 64:
+                    if len(self.once) >= self.cache_size // 2:
+                        self.once_old, self.once = self.once, {}
+                    self.once[unit] = hit
+                return hit
+        if len(self.new) >= self.cache_size:
+            self.old, self.new = self.new, {}
+        self.new[unit] = hit
         return hit
 
     def encode(self, text: str, end: int | None = 2) -> tuple[list[int], str]:
         """The ids, and the same joined by spaces."""
         ids: list[int] = []
-        words: list[str] = []
         if text:
             get = self.new.get
             for unit in self.unit.findall((MARK if self.prefix else "") + text.replace(" ", MARK)):
@@ -217,12 +225,10 @@ class PrefixTable:
                 if hit is None:
                     hit = self.lookup(unit)
                     get = self.new.get
-                ids += hit[0]
-                words.append(hit[1])
+                ids += hit
         if end is not None:
             ids.append(end)
-            words.append(str(end))
-        return ids, " ".join(words)
+        return ids, " ".join(map(self.text.__getitem__, ids))
 
 
 _loaded: dict[str, tuple] = {}
