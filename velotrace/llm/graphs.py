@@ -107,6 +107,7 @@ class SmallWorld:
         """(query, point, distance) of points found within the radius: the beam's, and then, as long as any point within the radius is new, those next to it. So a beam grows to all its hits, and hits cost their links alone."""
         ids, dist = self.search(queries, min(beam, len(self.points)))
         out, n = [], len(self.points)
+        place = np.empty(min(block, len(queries)) * n, np.int64)
         for lo in range(0, len(queries), block):
             q = queries[lo : lo + block]
             seen = np.zeros((len(q), n), bool)
@@ -122,7 +123,10 @@ class SmallWorld:
                 deg = self.begin[pi + 1] - self.begin[pi]
                 step = np.arange(int(deg.sum())) - np.repeat(np.cumsum(deg) - deg - self.begin[pi], deg)
                 code = np.repeat(qi, deg) * n + self.ends[step]
-                code = np.unique(code[~seen.ravel()[code]])
+                code = code[~seen.ravel()[code]]
+                at = np.arange(len(code))
+                place[code] = at  # of equal ones the last stays
+                code = code[place[code] == at]
                 qi, pi = code // n, code % n
                 seen[qi, pi] = True
                 d = hamming(self.points[pi], q[qi])

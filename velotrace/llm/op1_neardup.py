@@ -8,8 +8,9 @@
    there is no other way to become one. Pairs that meet in several tables are searched as often, in other graphs. The nodes whose id is divisible by AUDIT
    are also compared with all points of their shard: that audits the recall. Where it is below RECALL, the search starts anew with a wider beam.
 4. Candidates that share the minimum hash, and whose sizes and parities allow it, are verified on whole shingle sets. Parities tell which of ODD bins hold an
-   odd number of shingles; two sets differ in at least as many shingles as in parities, so no link is lost. Texts travel once per group of candidates, not per pair. A node with over NEAREST candidates sends its nearest first; once the classes of the first pass are known, the rest between
-   different classes follow, all of them.
+   odd number of shingles; two sets differ in at least as many shingles as in parities, so no link is lost. Texts travel once per group of candidates, not per pair,
+   and hardly any without candidates. A node with over NEAREST candidates sends its nearest first; once the classes of the first pass are known, the rest between
+   different classes follow, all of them: under a minimum hash with one class there are none.
 5. Verified links are joined to classes of nodes, and rows find their node's class.
 
 Defined results: the class id is the least doc_id of the class; null texts and texts without words are alone; texts of one to four words have their
@@ -27,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, chunks, constants, gram_hashes, keep_columns, mix, packed, release, spans, split_join, starts_of, table, unpacked, word_hashes, work_table
+from .common import U, chunks, constants, distinct, gram_hashes, keep_columns, mix, packed, release, spans, split_join, starts_of, table, unpacked, word_hashes, work_table
 from .graphs import SmallWorld, components, exact_within
 
 log = logging.getLogger(__name__)
 SHINGLE, SIMILAR, TABLES, RADIUS = 5, 0.8, 6, 40
 CAP, NEAREST, GROUP = 1024, 32, 400
 BEAM, AUDIT, RECALL = 16, 100, 0.9
-ODD = 1024
+ODD, MARKS = 1024, 1 << 25
 _MIN, _BITS = constants(21, 8), constants(22, 4)
 
 
@@ -65,13 +66,13 @@ def _fingerprints(batches):
         for row, data, offs in chunks(batch.column(1)):
             n = len(offs) - 1
             doc, g = shingles(data, offs)
-            x = np.unique(doc.astype(U) << U(48) | g >> U(16))  # a chunk has at most 65,535 documents
+            x = distinct(doc.astype(U) << U(48) | g >> U(16))  # a chunk has at most 65,535 documents
             doc = (x >> U(48)).astype(np.int64)
             x = mix(x & U((1 << 48) - 1))
-            ids = np.unique(doc)
-            begin = np.searchsorted(doc, ids)
-            if not len(ids):
+            if not len(doc):
                 continue
+            begin = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+            ids = doc[begin]
             with np.errstate(over="ignore"):
                 a, b = np.add.reduceat(mix(x ^ _BITS[2]), begin), np.bitwise_xor.reduceat(mix(x ^ _BITS[3]), begin)
                 low = np.stack([np.minimum.reduceat(x * m, begin) for m in _MIN[:TABLES]], 1)
@@ -80,7 +81,7 @@ def _fingerprints(batches):
             np.bitwise_xor.at(odd, (np.repeat(np.arange(len(ids)), size) * ODD + (x >> U(54)).astype(np.int64)) >> 6, U(1) << (x >> U(54) & U(63)))
             half = []
             for k in range(2):
-                ones = np.concatenate([np.add.reduceat(np.unpackbits(mix(x[lo:hi] ^ _BITS[k]).view(np.uint8).reshape(-1, 8), axis=1), begin[i:j] - lo, axis=0, dtype=np.int32) for i, j, lo, hi in _slices(begin, len(x))])
+                ones = np.concatenate([_ones(mix(x[lo:hi] ^ _BITS[k]), begin[i:j] - lo) for i, j, lo, hi in _slices(begin, len(x))])
                 half.append(np.packbits(2 * ones > size[:, None], axis=1).view(U).ravel())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(row + ids)), pa.array(size), *(pa.array(v.view(np.int64)) for v in (a, b, *half)), pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * TABLES), pa.array(low.ravel().view(np.int64))), pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.arange(len(ids) + 1, dtype=np.int32) * np.int32(ODD // 8)), pa.py_buffer(odd)])],
@@ -97,6 +98,17 @@ def _slices(begin: np.ndarray, total: int, rows: int = 1 << 15):
         i = j
 
 
+def _ones(x: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """How often each of the 64 bits is set, per run of x: bytes are added eight at a time, in parts of 255 values, where no sum overflows its byte."""
+    size = np.diff(np.append(begin, len(x)))
+    parts = -(-size // 255)
+    first = np.cumsum(parts) - parts
+    step = np.arange(int(parts.sum())) - np.repeat(first, parts)
+    bits = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1).view(U)
+    sums = np.add.reduceat(bits, np.repeat(begin, parts) + 255 * step, axis=0).view(np.uint8)
+    return np.add.reduceat(sums, first, axis=0, dtype=np.int32)
+
+
 def _may_be_similar(odd: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 1 << 16) -> np.ndarray:
     """Whether the parities of the sets a and b allow a similarity of SIMILAR: false only where the sets differ in too many shingles."""
     out = np.zeros(len(a), bool)
@@ -106,22 +118,29 @@ def _may_be_similar(odd: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray
     return out
 
 
+def _hits(ids: np.ndarray, sim: np.ndarray, points: np.ndarray, query: np.ndarray, beam: int):
+    """(query, point, distance) that a graph of the points returns, and the audit: pairs of queries with an id divisible by AUDIT and any point, and how many of them the graph found."""
+    if not len(query) or not len(points):
+        return *(np.zeros(0, int),) * 3, 0, 0
+    qi, pi, dist = SmallWorld(sim[points]).within(sim[query], RADIUS, beam)
+    asked = np.flatnonzero(ids[query] % AUDIT == 0)
+    eq, ep, _ = exact_within(sim[points], sim[query[asked]], RADIUS)
+    real = ids[query[asked[eq]]] != ids[points[ep]]
+    truth = (asked[eq] * len(points) + ep)[real]
+    return query[qi], points[pi], dist, len(truth), int(np.isin(truth, qi * len(points) + pi).sum())
+
+
 def _search(limit: int | None, beam: int = BEAM):
     def work(t: pa.Table) -> pa.Table:
         get = lambda c: t.column(c).to_numpy()
         ids, n, low, cls, role = get("id"), get("n"), get("low"), get("cls"), get("role")
         sim = np.stack([get("sim_a").view(U), get("sim_b").view(U)], 1)
+        main = get("main") if "main" in t.column_names else np.zeros(len(ids), bool)
         graph, query = np.flatnonzero(role != 1), np.flatnonzero((role != 0) & get("ask"))
-        order = np.argsort(ids[graph], kind="stable")
-        graph = graph[order]
-        qi, pi, dist = SmallWorld(sim[graph]).within(sim[query], RADIUS, beam) if len(query) else (np.zeros(0, int),) * 3
-        # the audit: queries of ids divisible by AUDIT against all points
-        asked = np.flatnonzero(ids[query] % AUDIT == 0)
-        eq, ep, _ = exact_within(sim[graph], sim[query[asked]], RADIUS)
-        real = ids[query[asked[eq]]] != ids[graph[ep]]
-        truth = (asked[eq] * len(graph) + ep)[real]
-        audit = (len(truth), int(np.isin(truth, qi * len(graph) + pi).sum()))
-        a, b = query[qi], graph[pi]
+        # of two nodes of different classes one is outside of its hash's main class, and that one searches for the other
+        ways = [(graph, query[~main[query]]), (query[main[query]], graph[~main[graph]])]
+        a, b, dist, truth, found = zip(*[_hits(ids, sim, points[np.argsort(ids[points], kind="stable")], asked, beam) for points, asked in ways])
+        a, b, dist, audit = np.concatenate(a), np.concatenate(b), np.concatenate(dist), (sum(truth), sum(found))
         fit = (low[a] == low[b]) & (ids[a] != ids[b]) & (cls[a] != cls[b]) & (np.minimum(n[a], n[b]) >= SIMILAR * np.maximum(n[a], n[b]) - 1e-9)
         a, b, dist = a[fit], b[fit], dist[fit]
         if "odd" in t.column_names:
@@ -146,9 +165,9 @@ def _search(limit: int | None, beam: int = BEAM):
 
 
 def candidates(nodes: DataFrame, classes: DataFrame | None, limit: int | None, ask: DataFrame | None = None, beam: int = BEAM) -> DataFrame:
-    """Only nodes in ask query, all where it is None. Rows a, b, more, and in rows with a = b = 0 the audit of a shard: audited pairs within the radius, and how many of them the graph found.
-    Reads a work table, to be released by the name of what is returned."""
-    rows = nodes.select("id", "n", "sim_a", "sim_b", "odd", F.posexplode("low").alias("t", "low"))
+    """Without classes all nodes query. With them, pairs of one class are left out. Rows a, b, more, and in rows with a = b = 0 the audit of a shard: audited pairs within the radius, and how many of them the graph found.
+    nodes has a row a node with its minimum hashes, or the rows of an earlier call, which are all that can meet. Reads a work table, to be released by the name of what is returned; its rows are in `rows`."""
+    rows = nodes.select("id", "n", "sim_a", "sim_b", "odd", *(["t", "low"] if "t" in nodes.columns else [F.posexplode("low").alias("t", "low")]))
     if classes is None:
         rows = rows.withColumn("cls", F.col("id"))
     else:
@@ -157,13 +176,20 @@ def candidates(nodes: DataFrame, classes: DataFrame | None, limit: int | None, a
         rows = rows.withColumn("ask", F.lit(True))
     else:
         rows = rows.join(ask.select("id", F.lit(True).alias("ask")), "id", "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
-    shared = rows.groupBy("t", "low").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    if classes is None:
+        shared = rows.groupBy("t", "low").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    else:
+        # under a minimum hash of one class, or where none asks, there is nothing to find; main is the class with most nodes
+        shared = rows.groupBy("t", "low", "cls").agg(F.count(F.lit(1)).alias("times"), F.max("ask").alias("some")).groupBy("t", "low")
+        shared = shared.agg(F.sum("times").alias("times"), F.max(F.struct("times", "cls")).alias("main"), F.count(F.lit(1)).alias("classes"), F.max("some").alias("some"))
+        shared = shared.filter("classes > 1 AND some").select("t", "low", "times", F.col("main.cls").alias("main"))
     total = shared.agg(F.sum("times")).first()[0] or 0
     shards = max(1, -(-total // (TABLES * CAP)))
     shared = shared.withColumn("shard", F.pmod(F.xxhash64("low"), F.lit(shards)).cast("int"))
     sizes = shared.groupBy("t", "shard").agg((F.sum("times") > 2 * CAP).alias("large"))
-    shared = shared.join(sizes, ["t", "shard"]).select("t", "low", "times", "shard", "large")
+    shared = shared.join(sizes, ["t", "shard"])
     rows = split_join(rows, shared, ["t", "low"], "times", "id", total)
+    rows = rows.withColumn("main", F.lit(False) if classes is None else F.col("cls") == F.col("main"))
     # sets of similarity SIMILAR lie in the same class or in neighbours, whatever the logarithm's last bit
     rows = work_table(rows.withColumn("g", F.when(F.col("large"), F.floor(F.log("n") / F.lit(-1.001 * math.log(SIMILAR)))).otherwise(0).cast("int")), "shard-rows")
     classes_of = rows.filter("large").groupBy("t", "shard", "g").agg((F.floor((F.count(F.lit(1)) - 1) / F.lit(2 * CAP)) + 1).cast("int").alias("blocks"))
@@ -180,11 +206,11 @@ def candidates(nodes: DataFrame, classes: DataFrame | None, limit: int | None, a
         cell("0", "above - 1", "'gg', g + 1, 'gq', g, 'i', block, 'j', k, 'role', 1"),
     ]
     key = ["t", "shard", "gg", "gq", "i", "j"]
-    every = cells.withColumn("cell", F.explode(F.expr(f"concat({', '.join(ways)})"))).select("t", "shard", "cell.*", "id", "n", "sim_a", "sim_b", "odd", "low", "cls", "ask")
+    every = cells.withColumn("cell", F.explode(F.expr(f"concat({', '.join(ways)})"))).select("t", "shard", "cell.*", "id", "n", "sim_a", "sim_b", "odd", "low", "cls", "ask", "main")
     # a number of its own: small in bytes, long in work, so not to be coalesced
     every = every.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
     out = every.groupBy(*key).applyInArrow(_search(limit, beam), "a long, b long, more boolean, truth long, found long")
-    out.work_path = rows.work_path
+    out.work_path, out.rows = rows.work_path, rows
     return out
 
 
@@ -206,7 +232,7 @@ def _verify(texts: pa.Table, edges: pa.Table) -> pa.Table:
                 doc, g = shingles(data, offs)
                 cut = np.searchsorted(doc, np.arange(len(offs)))
                 for k in range(len(offs) - 1):
-                    own, new = sets.setdefault(ids[row + k], []), np.unique(g[cut[k] : cut[k + 1]])
+                    own, new = sets.setdefault(ids[row + k], []), distinct(g[cut[k] : cut[k + 1]])
                     if len(new) and not any(np.array_equal(x, new) for x in own):
                         own.append(new)
     a, b = edges.column("a").to_numpy(), edges.column("b").to_numpy()
@@ -214,8 +240,20 @@ def _verify(texts: pa.Table, edges: pa.Table) -> pa.Table:
     return pa.table({"a": a[good], "b": b[good]})
 
 
+def _among(text: DataFrame, need: DataFrame) -> DataFrame:
+    """The rows of text whose id is in need, and some others: those whose hash falls on a bit that an id in need has set. Spares most texts the way to a join that drops them.
+    The bits are MARKS (4 MB) at any size of the tables; the more ids there are, the more others stay."""
+    mark = F.pmod(F.xxhash64("id"), F.lit(MARKS))
+    group, bit = F.floor(mark / 32768).cast("int").alias("map"), (mark % 32768).alias("bit")
+    maps = need.select(group, bit).groupBy("map").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = text.select("*", group, bit).join(F.broadcast(maps), "map")
+    return out.filter("shiftright(conv(hex(substring(bits, int(bit div 8) + 1, 1)), 16, 10)::int, int(bit % 8)) % 2 = 1").select(*text.columns)
+
+
 def verified(text: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose shingle sets have a similarity of at least SIMILAR; text has id, text."""
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
     comp = components(pairs)
     size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     total = comp.count()
@@ -229,7 +267,7 @@ def verified(text: DataFrame, pairs: DataFrame) -> DataFrame:
     key = ["bucket", "c", "i", "j"]
     need = e.select(*key, F.explode(F.array("a", "b")).alias("id")).distinct()
     # never broadcast: with more documents it would be the other join
-    t = packed(text, "text").join(need.hint("merge"), "id").select(*key, "id", "text")
+    t = packed(_among(text, need), "text").join(need.hint("merge"), "id").select(*key, "id", "text")
     e2 = e.select(*[F.col(k).alias(f"e_{k}") for k in key], "a", "b")  # other names: both sides come from one table
     links = work_table(t.groupBy(*key).cogroup(e2.groupBy(*[f"e_{k}" for k in key])).applyInArrow(_verify, "a long, b long"), "links")
     release(comp, e)
@@ -251,12 +289,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     while True:
         found = candidates(nodes, None, NEAREST, beam=beam)
         first = work_table(found, "candidates")
-        release(found)
         seen = first.filter("a = 0 AND b = 0").agg(F.coalesce(F.sum("truth"), F.lit(0)).alias("truth"), F.coalesce(F.sum("found"), F.lit(0)).alias("found")).first()
         log.warning("graph recall with beams from %d: %d of %d audited pairs within the radius", beam, seen.found, seen.truth)
         if seen.found >= RECALL * seen.truth or beam >= 2 * CAP:
             break
-        release(first)
+        release(first, found)
         beam *= 4
     pairs = work_table(first.filter("a != b").select("a", "b").distinct(), "pairs")
     links = all_links = verified(text, pairs)
@@ -264,12 +301,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ask = first.filter("more").select(F.explode(F.array("a", "b")).alias("id")).distinct()
     if ask.limit(1).count():
         classes = components(links)
-        found = candidates(nodes, classes, None, ask, beam)
-        rest = work_table(found.filter("a != b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-        release(found)
+        again = candidates(found.rows, classes, None, ask, beam)
+        rest = work_table(again.filter("a != b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+        release(again)
         more = verified(text, rest)
         all_links = links.unionByName(more)
         release(classes)
+    release(found)
     # a document of several texts joins their sets
     several = prints.groupBy("id").agg(F.min("set_a").alias("x"), F.max("set_a").alias("y")).filter("x != y").select("id")
     own = prints.join(several, "id").select("id", *key).join(sets.select(*key, "rep"), key).select("id", "rep")
