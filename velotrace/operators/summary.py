@@ -90,8 +90,8 @@ def summarize(points: DataFrame, activities: DataFrame | None = None, session: D
     )
 
 
-def writer_stats(points: DataFrame) -> DataFrame:
-    """What a FIT session message holds: means cut to integers, sensor speed or else distance by time. points has cum_dist_m and ele_delta."""
+def writer_stats(points: DataFrame, *more: Column) -> DataFrame:
+    """What a FIT session message holds: means cut to integers, sensor speed or else distance by time. points has cum_dist_m and ele_delta. more are further aggregates of the same grouping."""
     over = lambda c: F.when(F.col(c) > 0, F.col(c))
     cols = []
     for c in ("heart_rate", "cadence", "power"):
@@ -99,7 +99,7 @@ def writer_stats(points: DataFrame) -> DataFrame:
         cols += [F.when(F.count(v) > 0, F.floor(F.sum(v) / F.count(v))).cast("long").alias(f"avg_{c}"), F.max(v).alias(f"max_{c}")]
     t = points.groupBy("activity_id").agg(
         *cols, F.avg(over("speed_sensor_ms")).alias("sensor_avg"), F.max(over("speed_sensor_ms")).alias("sensor_max"), F.max_by("cum_dist_m", "seq").alias("distance_m"), duration_s().alias("elapsed_s"),
-        ascent().alias("ascent_m"), descent().alias("descent_m"), F.min_by("t_fit", "seq").alias("start_fit"), F.max_by("t_fit", "seq").alias("end_fit"),
+        ascent().alias("ascent_m"), descent().alias("descent_m"), F.min_by("t_fit", "seq").alias("start_fit"), F.max_by("t_fit", "seq").alias("end_fit"), *more,
     )
     own = F.when((F.col("elapsed_s") > 0) & (F.col("distance_m") > 0), F.col("distance_m") / F.col("elapsed_s"))
     t = t.withColumn("avg_speed_ms", F.coalesce("sensor_avg", own))

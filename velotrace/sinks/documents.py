@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from ..functions.scalar import iso_time, scaled_round
 from ..operators.summary import writer_stats
 from ..operators.tracks import with_backfill, with_odometer, with_steps
-from ..sources.fitcodec import POINT_FIELDS, encode_columns
+from ..sources.fitcodec import POINT_FIELDS, encode_fields, record_fields
+
+#: Small files go to Spark together, up to about this size.
+BATCH_BYTES = 1 << 20
 
 
 def point_json(points: DataFrame) -> DataFrame:
@@ -34,20 +37,23 @@ def ride_json(points: DataFrame, summary: DataFrame) -> DataFrame:
 def fit_files(points: DataFrame) -> DataFrame:
     """activity_id and fit, the bytes of an activity file."""
     p = with_odometer(with_steps(points))
-    stats = writer_stats(p)
     keep = ["seq", "lat", "lon", "elevation", "t_fit", "heart_rate", "cadence", "power", "temperature", "speed_sensor_ms", "cum_dist_m"]
-    rows = p.groupBy("activity_id").agg(F.array_sort(F.collect_list(F.struct(*keep))).alias("points")).join(stats, "activity_id")
-    rows = rows.select("activity_id", "points", F.struct(*[c for c in stats.columns if c != "activity_id"]).alias("stats"))
+    rows = writer_stats(p, F.sort_array(F.collect_list(F.struct(*keep))).alias("points"))
+    rows = rows.select("activity_id", "points", F.struct(*[c for c in rows.columns if c not in ("activity_id", "points")]).alias("stats"))
 
     def work(batches):
         for batch in batches:
             lists = batch.column(1)
             flat, cut = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            cols = {c: flat.field(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in POINT_FIELDS}
+            fields = record_fields({c: flat.field(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in POINT_FIELDS})
             stats = batch.column(2).to_pylist()
+            begin, made, size = 0, [], 0
             for k in range(batch.num_rows):
-                made = encode_columns({c: v[cut[k] : cut[k + 1]] for c, v in cols.items()}, stats[k])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([made], pa.binary())], ["activity_id", "fit"])
+                made.append(encode_fields([(n, b, v[cut[k] : cut[k + 1]], ok[cut[k] : cut[k + 1]]) for n, b, v, ok in fields], stats[k]))
+                size += len(made[-1])
+                if size > BATCH_BYTES or k + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(made)), pa.array(made, pa.binary())], ["activity_id", "fit"])
+                    begin, made, size = k + 1, [], 0
 
     return rows.mapInArrow(work, "activity_id string, fit binary")
 

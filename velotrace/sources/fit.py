@@ -27,6 +27,8 @@ _FIELDS = {
     C.FILE_ID: {1: ("manufacturer", 1, 0), 2: ("product", 1, 0), 8: ("product_name", 1, 0)},
 }
 _FLOAT = {"elevation", "total_distance_m", "total_ascent_m", "total_descent_m", "max_speed_ms", "avg_speed_ms", "total_elapsed_s", "total_timer_s"}
+#: The messages of small files go to Spark together, about so many at once.
+BATCH_ROWS = 10_000
 SESSION_FIELDS = [c for c, *_ in _FIELDS[C.SESSION].values()]
 
 
@@ -72,6 +74,7 @@ def read_messages(files: DataFrame, kinds: tuple[str, ...] = ("record", "session
         return made
 
     def work(batches):
+        held, rows = [], 0
         for batch in batches:
             for k in range(batch.num_rows):
                 path = batch.column(0)[k].as_py()
@@ -79,7 +82,13 @@ def read_messages(files: DataFrame, kinds: tuple[str, ...] = ("record", "session
                     made = tables(path, batch.column(1)[k].as_py())
                 except (C.FitError, IndexError, ValueError, OverflowError, TypeError, struct.error, pa.ArrowInvalid) as e:
                     made = [error(path, e)]
-                yield from made
+                held += made
+                rows += sum(m.num_rows for m in made)
+                if rows > BATCH_ROWS:
+                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                    held, rows = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
     return files.select("path", "content").mapInArrow(work, WIDE)
 
