@@ -24,12 +24,20 @@ def scaled_round(x: Column, places: int) -> Column:
     return F.signum(y) * F.floor(F.abs(y) + 0.5) / F.lit(s)
 
 
-def fit_time(text: Column) -> Column:
-    """Seconds since the FIT epoch from the first 19 characters, with T or a space, read as UTC whatever follows; else 0."""
+def unix_time(text: Column) -> Column:
+    """Unix seconds of the first 19 characters, with T or a space, read as UTC whatever follows; null for other text."""
     head = F.substring(F.ltrim(text), 1, 19)
-    ts = F.coalesce(F.try_to_timestamp(head, F.lit("yyyy-MM-dd'T'HH:mm:ss")), F.try_to_timestamp(head, F.lit("yyyy-MM-dd HH:mm:ss")))
-    s = F.unix_timestamp(ts)
-    return F.coalesce(F.when(s >= FIT_EPOCH, s - FIT_EPOCH), F.lit(0)).cast("long")
+    return F.unix_timestamp(F.coalesce(F.try_to_timestamp(head, F.lit("yyyy-MM-dd'T'HH:mm:ss")), F.try_to_timestamp(head, F.lit("yyyy-MM-dd HH:mm:ss"))))
+
+
+def since_fit_epoch(unix: Column) -> Column:
+    """FIT seconds of unix seconds; 0 for none, and for those before the FIT epoch."""
+    return F.coalesce(F.when(unix >= FIT_EPOCH, unix - FIT_EPOCH), F.lit(0)).cast("long")
+
+
+def fit_time(text: Column) -> Column:
+    """Seconds since the FIT epoch of a text as unix_time reads it; else 0."""
+    return since_fit_epoch(unix_time(text))
 
 
 def fit_instant(t: Column) -> Column:
@@ -59,14 +67,29 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^.]*)$", 1))
 
 
+def number_text(s: Column) -> Column:
+    """The number that a text begins with, as text; empty for other text, null for none."""
+    return F.regexp_extract(s, r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)", 1)
+
+
+def integer_text(s: Column) -> Column:
+    """number_text of integers."""
+    return F.regexp_extract(s, r"^\s*([+-]?[0-9]+)", 1)
+
+
+def parsed(text: Column, kind: str) -> Column:
+    """The value of number_text or integer_text; 0 for what the type can't hold. Empty text isn't cast, since each such cast makes an exception."""
+    return F.when(text.isNotNull(), F.coalesce(F.when(text != "", text.try_cast(kind)), F.lit(0).cast(kind)))
+
+
 def number(s: Column) -> Column:
     """The number that a text begins with; 0 for other text, null for none."""
-    return F.when(s.isNotNull(), F.coalesce(F.regexp_extract(s, r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)", 1).try_cast("double"), F.lit(0.0)))
+    return parsed(number_text(s), "double")
 
 
 def integer(s: Column) -> Column:
     """The integer that a text begins with; 0 for other text, null for none."""
-    return F.when(s.isNotNull(), F.coalesce(F.regexp_extract(s, r"^\s*([+-]?[0-9]+)", 1).try_cast("int"), F.lit(0)))
+    return parsed(integer_text(s), "int")
 
 
 def in_range(x: Column, most: int) -> Column:

@@ -211,7 +211,7 @@ def _fill(form: str, *cols) -> F.Column:
 def _gpx_docs(spark, d):
     c = F.col
     p = pseudo(spark, d).withColumn("x", _fill(_TRKPT, c("lat"), c("lon"), c("elevation"), X.iso_time(c("t_fit")), c("power"), c("temperature"), c("heart_rate"), c("cadence")))
-    g = p.groupBy("activity_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "x"))), lambda s: s["x"]), "\n").alias("x"))
+    g = p.groupBy("activity_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "x"))), lambda s: s["x"]), "\n").alias("x"))
     head = '<?xml version="1.0"?><gpx version="1.1" xmlns:gpxtpx="t"><metadata><name>Ride</name></metadata><trk><name>T</name><trkseg>'
     return g.select(F.col("activity_id").alias("path"), F.encode(F.concat(F.lit(head), "x", F.lit("</trkseg></trk></gpx>")), "UTF-8").alias("content"))
 
@@ -227,8 +227,8 @@ _TP = "<Trackpoint><Time>{}</Time><Position><LatitudeDegrees>{}</LatitudeDegrees
 def _tcx_docs(spark, d):
     c = F.col
     p = pseudo(spark, d).withColumn("x", _fill(_TP, X.iso_time(c("t_fit")), c("lat"), c("lon"), c("elevation"), c("src_distance_m"), c("heart_rate"), c("cadence"), c("speed_sensor_ms"), c("power")))
-    laps = p.groupBy("activity_id", F.floor(F.col("seq") / 20).alias("lap")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "x"))), lambda s: s["x"]), "\n").alias("x"))
-    g = laps.groupBy("activity_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lap", "x"))), lambda s: F.concat(F.lit("<Lap><Track>"), s["x"], F.lit("</Track></Lap>"))), "").alias("x"))
+    laps = p.groupBy("activity_id", F.floor(F.col("seq") / 20).alias("lap")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "x"))), lambda s: s["x"]), "\n").alias("x"))
+    g = laps.groupBy("activity_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("lap", "x"))), lambda s: F.concat(F.lit("<Lap><Track>"), s["x"], F.lit("</Track></Lap>"))), "").alias("x"))
     head = '<?xml version="1.0"?><TrainingCenterDatabase xmlns:ns3="e"><Activities><Activity Sport="Biking"><Id>1</Id>'
     return g.select(F.col("activity_id").alias("path"), F.encode(F.concat(F.lit(head), "x", F.lit("</Activity></Activities></TrainingCenterDatabase>")), "UTF-8").alias("content"))
 
@@ -252,9 +252,9 @@ def gpx_tracks(spark, d):
     """Documents of several tracks and segments, of which some are empty."""
     c = F.col
     p = pseudo(spark, d).withColumn("x", F.format_string('<trkpt lat="%s" lon="%s"><ele>%s</ele></trkpt>', c("lat").cast("string"), c("lon").cast("string"), c("elevation").cast("string")))
-    g = p.groupBy("activity_id", F.floor(c("seq") / 7).alias("g")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "x"))), lambda s: s["x"]), "").alias("x"))
+    g = p.groupBy("activity_id", F.floor(c("seq") / 7).alias("g")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "x"))), lambda s: s["x"]), "").alias("x"))
     seg = F.concat(F.lit("<trkseg>"), "x", F.lit("</trkseg>"), F.when(F.pmod("g", F.lit(3)) == 0, "</trk><trk><name>next</name><trkseg/>").otherwise(""))
-    g = g.withColumn("x", seg).groupBy("activity_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "x"))), lambda s: s["x"]), "").alias("x"))
+    g = g.withColumn("x", seg).groupBy("activity_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("g", "x"))), lambda s: s["x"]), "").alias("x"))
     docs = g.select(c("activity_id").alias("path"), F.encode(F.concat(F.lit('<gpx version="1.1"><trk>'), "x", F.lit("</trk></gpx>")), "UTF-8").alias("content"))
     p = xml.gpx_points(xml.documents(docs, "gpx", xml.GPX))
     return p.select("activity_id", "seq", _r("lat", 9), _r("lon", 9), _r("elevation", 6))
@@ -264,7 +264,7 @@ def tcx_courses(spark, d):
     """Documents of courses, whose tracks lie outside of laps, with an odometer."""
     c = F.col
     p = pseudo(spark, d).withColumn("x", _fill(_TP, X.iso_time(c("t_fit")), c("lat"), c("lon"), c("elevation"), c("src_distance_m"), c("heart_rate"), c("cadence"), c("speed_sensor_ms"), c("power")))
-    g = p.groupBy("activity_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "x"))), lambda s: s["x"]), "").alias("x"))
+    g = p.groupBy("activity_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "x"))), lambda s: s["x"]), "").alias("x"))
     docs = g.select(c("activity_id").alias("path"), F.encode(F.concat(F.lit('<TrainingCenterDatabase xmlns:ns3="e"><Courses><Course><Name>C</Name><Track>'), "x", F.lit("</Track></Course></Courses></TrainingCenterDatabase>")), "UTF-8").alias("content"))
     p = xml.tcx_points(xml.documents(docs, "TrainingCenterDatabase", xml.TCX))
     t = S.ride_totals(K.with_odometer(K.with_steps(p)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalar import fit_instant, fit_time, in_range, integer, number
+from ..functions.scalar import fit_instant, in_range, integer_text, number_text, parsed, since_fit_epoch, unix_time
 
 PROLOG = r"(?s)^\x{FEFF}?\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*"
 
@@ -46,10 +46,11 @@ def documents(files: DataFrame, root: str, schema: T.StructType) -> DataFrame:
     latin = head.rlike(r"encoding\s*=\s*[\"'](?:iso-8859-1|iso-8859-15|latin-?1|windows-1252|us-ascii)")
     # bytes that aren't valid in UTF-8 are read as Latin-1 or else replaced, so that one file can't fail the others
     text = F.when(latin, F.decode("content", "ISO-8859-1")).otherwise(F.coalesce(F.expr("try_validate_utf8(cast(content AS string))"), F.decode("content", "ISO-8859-1")))
+    d = files.select(F.col("path").alias("activity_id"), text.alias("text"))
+    xml = F.col("text")
     if root == "gpx":  # older files write <Name>
-        text = F.regexp_replace(text, r"<(/?)Name>", "<$1name>")
-    d = files.select(F.col("path").alias("activity_id"), text.alias("xml"))
-    return d.select("activity_id", F.col("xml").rlike(PROLOG + rf"<{root}[\s/>]").alias("root_ok"), F.from_xml("xml", schema, {"rowTag": root}).alias("doc"))
+        xml = F.when(xml.contains("Name>"), F.regexp_replace(xml, r"<(/?)Name>", "<$1name>")).otherwise(xml)
+    return d.select("activity_id", F.col("text").rlike(PROLOG + rf"<{root}[\s/>]").alias("root_ok"), F.from_xml(xml, schema, {"rowTag": root}).alias("doc"))
 
 
 def number_points(df: DataFrame, *order: str) -> DataFrame:
@@ -59,8 +60,19 @@ def number_points(df: DataFrame, *order: str) -> DataFrame:
     return df.withColumn("seq", (F.row_number().over(Window.partitionBy("activity_id").orderBy(*order)) - 1).cast("long"))
 
 
+def _read(p: DataFrame, keep: tuple[str, ...], **leaves: tuple[str, Column]) -> DataFrame:
+    """keep and the leaves, which are double, int, time or place (0 for none), as values. In steps of which each uses the one before more than once: Spark then merges none of them, and takes each leaf and each expression once a point."""
+    kinds = {n: kind for n, (kind, _) in leaves.items()}
+    text = {"double": number_text, "int": integer_text, "time": unix_time, "place": number_text}
+    value = {"double": lambda c: parsed(c, "double"), "int": lambda c: parsed(c, "int"), "time": since_fit_epoch, "place": lambda c: F.coalesce(c.try_cast("double"), F.lit(0.0))}
+    p = p.select(*keep, *[c.alias(n) for n, (_, c) in leaves.items()])
+    p = p.select(*keep, *[text[kind](F.col(n)).alias(n) for n, kind in kinds.items()])
+    return p.select(*keep, *[value[kind](F.col(n)).alias(n) for n, kind in kinds.items()])
 
 
+def _valid(n: str, most: int) -> Column:
+    return in_range(F.col(n), most)
+
 
 def gpx_points(docs: DataFrame) -> DataFrame:
     """All points but those at 0, 0, in document order across tracks and segments."""
@@ -69,12 +81,14 @@ def gpx_points(docs: DataFrame) -> DataFrame:
     x = F.get(F.col("p.extensions"), F.lit(0))
     e = F.coalesce(*[F.get(x.getField(f"{q}TrackPointExtension"), F.lit(0)) for q in _PREFIX])
     leaf = lambda n: first(e, *[f"{q}{n}" for q in _PREFIX])
-    t = fit_time(first(F.col("p"), "time"))
+    p = _read(
+        p, ("activity_id", "k", "s", "i"), lat=("place", F.col("p._lat")), lon=("place", F.col("p._lon")), elevation=("double", first(F.col("p"), "ele")), t_fit=("time", first(F.col("p"), "time")),
+        hr=("int", leaf("hr")), cad=("int", leaf("cad")), power=("int", F.coalesce(first(x, "power", "gpxtpx:power"), first(e, "gpxtpx:power", "power"))), temp=("int", leaf("atemp")),
+        speed=("double", F.coalesce(first(F.col("p"), "speed"), leaf("speed"))),
+    )
     p = p.select(
-        "activity_id", "k", "s", "i", F.coalesce(number(F.col("p._lat")), F.lit(0.0)).alias("lat"), F.coalesce(number(F.col("p._lon")), F.lit(0.0)).alias("lon"), number(first(F.col("p"), "ele")).alias("elevation"),
-        F.coalesce(t, F.lit(0)).alias("t_fit"), in_range(integer(leaf("hr")), 255).cast("short").alias("heart_rate"), in_range(integer(leaf("cad")), 255).cast("short").alias("cadence"),
-        in_range(integer(F.coalesce(first(x, "power", "gpxtpx:power"), first(e, "gpxtpx:power", "power"))), 65535).alias("power"), integer(leaf("atemp")).try_cast("byte").alias("temperature"),
-        F.coalesce(number(first(F.col("p"), "speed")), number(leaf("speed"))).alias("speed_sensor_ms"), F.lit(None).cast("double").alias("src_distance_m"),
+        "activity_id", "k", "s", "i", "lat", "lon", "elevation", "t_fit", _valid("hr", 255).cast("short").alias("heart_rate"), _valid("cad", 255).cast("short").alias("cadence"),
+        _valid("power", 65535).alias("power"), F.col("temp").try_cast("byte").alias("temperature"), F.col("speed").alias("speed_sensor_ms"), F.lit(None).cast("double").alias("src_distance_m"),
     ).filter("NOT (lat = 0 AND lon = 0)")
     return _finish(p, "k", "s", "i")
 
@@ -87,14 +101,15 @@ def tcx_points(docs: DataFrame) -> DataFrame:
     p = a.select("activity_id", "k", F.posexplode(tracks).alias("s", "track")).select("activity_id", "k", "s", F.posexplode("track.Trackpoint").alias("i", "p"))
     pos, hr, ext = (F.get(F.col(f"p.{n}"), F.lit(0)) for n in ("Position", "HeartRateBpm", "Extensions"))
     x = F.coalesce(*[F.get(ext.getField(n), F.lit(0)) for n in ("TPX", "ns3:TPX", "ActivityTrackpointExtension")])
-    lat, lon = number(first(pos, "LatitudeDegrees")), number(first(pos, "LongitudeDegrees"))
+    lat, lon = first(pos, "LatitudeDegrees"), first(pos, "LongitudeDegrees")
     both = lat.isNotNull() & lon.isNotNull()
+    p = _read(
+        p, ("activity_id", "k", "s", "i"), lat=("place", F.when(both, lat)), lon=("place", F.when(both, lon)), elevation=("double", first(F.col("p"), "AltitudeMeters")), t_fit=("time", first(F.col("p"), "Time")),
+        hr=("int", first(hr, "Value")), cad=("int", first(F.col("p"), "Cadence")), steps=("int", first(x, "RunCadence", "ns3:RunCadence")), power=("int", first(x, "Watts", "ns3:Watts")), speed=("double", first(x, "Speed", "ns3:Speed")), src_distance_m=("double", first(F.col("p"), "DistanceMeters")),
+    )
     p = p.select(
-        "activity_id", "k", "s", "i", F.when(both, lat).otherwise(0.0).alias("lat"), F.when(both, lon).otherwise(0.0).alias("lon"), number(first(F.col("p"), "AltitudeMeters")).alias("elevation"),
-        F.coalesce(fit_time(first(F.col("p"), "Time")), F.lit(0)).alias("t_fit"), in_range(integer(first(hr, "Value")), 255).cast("short").alias("heart_rate"),
-        F.coalesce(in_range(integer(first(F.col("p"), "Cadence")), 255), in_range(integer(first(x, "RunCadence", "ns3:RunCadence")), 255)).cast("short").alias("cadence"),
-        in_range(integer(first(x, "Watts", "ns3:Watts")), 65535).alias("power"), F.lit(None).cast("byte").alias("temperature"), number(first(x, "Speed", "ns3:Speed")).alias("speed_sensor_ms"),
-        number(first(F.col("p"), "DistanceMeters")).alias("src_distance_m"),
+        "activity_id", "k", "s", "i", "lat", "lon", "elevation", "t_fit", _valid("hr", 255).cast("short").alias("heart_rate"),
+        F.coalesce(_valid("cad", 255), _valid("steps", 255)).cast("short").alias("cadence"), _valid("power", 65535).alias("power"), F.lit(None).cast("byte").alias("temperature"), F.col("speed").alias("speed_sensor_ms"), "src_distance_m",
     ).filter("NOT (lat = 0 AND lon = 0)")
     return _finish(p, "k", "s", "i")
 
